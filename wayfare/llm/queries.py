@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near import op3_minhash_join
 from .rules import op10_risk_controlled_rules
 from .sharding import op8_hypergeometric_shards
+from .tokens import op4_simple8b_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash_join": op3_minhash_join,
+        "op4_simple8b_tokens": op4_simple8b_tokens,
         "op8_hypergeometric_shards": op8_hypergeometric_shards,
         "op10_risk_controlled_rules": op10_risk_controlled_rules,
     }
