@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near import op3_minhash_join
+from .pii import op1_anchor_pii
 from .rules import op10_risk_controlled_rules
 from .sharding import op8_hypergeometric_shards
 from .tokens import op4_simple8b_tokens
@@ -14,6 +15,7 @@ from .tokens import op4_simple8b_tokens
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_anchor_pii": op1_anchor_pii,
         "op3_minhash_join": op3_minhash_join,
         "op4_simple8b_tokens": op4_simple8b_tokens,
         "op8_hypergeometric_shards": op8_hypergeometric_shards,
