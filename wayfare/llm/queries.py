@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op9_string_kernel_langid
 from .near import op3_minhash_join
 from .pii import op1_anchor_pii
+from .quality import op5_hierarchical_quality
 from .rules import op10_risk_controlled_rules
 from .sharding import op8_hypergeometric_shards
 from .tokens import op4_simple8b_tokens
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_anchor_pii": op1_anchor_pii,
         "op3_minhash_join": op3_minhash_join,
         "op4_simple8b_tokens": op4_simple8b_tokens,
+        "op5_hierarchical_quality": op5_hierarchical_quality,
         "op8_hypergeometric_shards": op8_hypergeometric_shards,
         "op9_string_kernel_langid": op9_string_kernel_langid,
         "op10_risk_controlled_rules": op10_risk_controlled_rules,
