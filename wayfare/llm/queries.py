@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op9_string_kernel_langid
+from .licenses import op7_license_scan
 from .near import op3_minhash_join
 from .pii import op1_anchor_pii
 from .quality import op5_hierarchical_quality
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_join": op3_minhash_join,
         "op4_simple8b_tokens": op4_simple8b_tokens,
         "op5_hierarchical_quality": op5_hierarchical_quality,
+        "op7_license_scan": op7_license_scan,
         "op8_hypergeometric_shards": op8_hypergeometric_shards,
         "op9_string_kernel_langid": op9_string_kernel_langid,
         "op10_risk_controlled_rules": op10_risk_controlled_rules,
