@@ -30,7 +30,6 @@ columns are ignored; an empty table writes no file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -42,7 +41,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, slices
+from ._common import Words, mix, shared_dir, slices, utf8
 
 MAGIC = b"WFS8B\0\0\1"
 BLOCK = 1024
@@ -53,6 +52,17 @@ BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 # --------------------------------------------------------------------------- coding
 
 
+_LIMITS = np.uint64(1) << BITS[1:].astype(np.uint64)
+_SMALL = (np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right") + 1).astype(np.uint8)
+
+
+def _needs(values: np.ndarray) -> np.ndarray:
+    """The densest selector that can hold each value; 16 if only an escape can."""
+    if not values.size or values.max() < 1 << 16:
+        return _SMALL[values.astype(np.uint16)]
+    return (np.searchsorted(_LIMITS, values, side="right") + 1).astype(np.uint8)
+
+
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit words, and the first word of each block with one end."""
     values = np.ascontiguousarray(values, np.uint64)
@@ -69,29 +79,31 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     sizes[-1] = n - block * (blocks - 1)
 
     # the first selector, from the densest, whose bits hold the next values
-    need = np.searchsorted(np.uint64(1) << BITS[1:].astype(np.uint64), padded, side="right").astype(np.uint8) + 1
+    need = _needs(padded)
     chosen = np.zeros((blocks, block), np.uint8)
-    open_ = np.ones((blocks, block), bool)
-    wide = np.zeros((blocks, width + 1), np.int16)
-    for s in range(1, 16):
-        np.cumsum(need > s, axis=1, out=wide[:, 1:])
-        fits = wide[:, COUNTS[s] : COUNTS[s] + block] == wide[:, :block]
-        chosen[open_ & fits] = s
-        open_ &= ~fits
+    for s in range(15, 0, -1):  # denser ones overwrite
+        fits, have = need <= s, 1
+        if fits[:, :block].any():
+            while 2 * have <= COUNTS[s]:  # fits[i]: the `have` values from i on fit
+                fits = fits[:, : fits.shape[1] - have] & fits[:, have:]
+                have *= 2
+            rest = int(COUNTS[s]) - have
+            if rest:
+                fits = fits[:, : fits.shape[1] - rest] & fits[:, rest:]
+            chosen[fits[:, :block]] = s
 
     at = np.zeros(blocks, np.int64)
     live = np.arange(blocks)
-    where, start, used = [], [], []  # one entry for each step: live blocks, positions, selectors
+    begins = np.zeros((blocks, block), bool)  # where words begin
     while len(live):
-        sel = chosen[live, at[live]]
-        where.append(live)
-        start.append(at[live].copy())
-        used.append(sel)
-        at[live] += COUNTS[sel]
-        live = live[at[live] < sizes[live]]
-    block_of, position, selector = map(np.concatenate, (where, start, used))
-    order = np.lexsort((position, block_of))
-    block_of, position, selector = block_of[order], position[order], selector[order]
+        here = at[live]
+        begins[live, here] = True
+        here = here + COUNTS[chosen[live, here]]
+        at[live] = here
+        live = live[here < sizes[live]]
+    place = np.flatnonzero(begins)
+    block_of, position = np.divmod(place, block)
+    selector = chosen.reshape(-1)[place]
     out_at = np.cumsum(1 + (selector == 0)) - (1 + (selector == 0))
     words = np.zeros(int(out_at[-1]) + 1 + int(selector[-1] == 0), np.uint64)
     words[out_at] = selector
@@ -127,21 +139,19 @@ def decode(words: np.ndarray, firsts: np.ndarray, n: int, block: int = BLOCK) ->
     block_of = np.searchsorted(firsts, heads + firsts[0], side="right") - 1
     before = np.cumsum(counts) - counts
     first_head = np.searchsorted(block_of, np.arange(blocks))
-    target = before - before[first_head][block_of] + block_of * block  # where each word's values go
-    out = np.zeros(blocks * block + int(COUNTS.max()), np.uint64)
-    limit = np.minimum((block_of + 1) * block, n)
+    width = block + int(COUNTS.max())  # a block's last word may reach beyond its end
+    target = before - before[first_head][block_of] + block_of * width  # where each word's values go
+    out = np.zeros(blocks * width, np.uint64)
     for s in np.unique(selector):
         mine = np.flatnonzero(selector == s)
-        if BITS[s] == 0:
-            continue
-        source = words[heads[mine] + (1 if s == 0 else 0)]
-        mask = np.uint64((1 << int(BITS[s])) - 1)
-        for i in range(COUNTS[s]):
-            to = target[mine] + i
-            ok = to < limit[mine]
-            value = source if s == 0 else (source >> np.uint64(4 + i * int(BITS[s]))) & mask
-            out[to[ok]] = value[ok]
-    return out[:n]
+        if s == 0:
+            out[target[mine]] = words[heads[mine] + 1]
+        elif BITS[s]:
+            source, to = words[heads[mine]] >> np.uint64(4), target[mine]
+            mask = np.uint64((1 << int(BITS[s])) - 1)
+            for i in range(COUNTS[s]):
+                out[to + i] = (source >> np.uint64(i * int(BITS[s]))) & mask
+    return out.reshape(blocks, width)[:, :block].reshape(-1)[:n]
 
 
 # --------------------------------------------------------------------------- files
@@ -218,19 +228,28 @@ def read_file(path: str):
 # --------------------------------------------------------------------------- tokens
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[32] = True
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
 class Encoder:
     """Texts to ids with the tokenizers library, remembering what stood between spaces.
 
     In byte-level BPE a single space between two characters that are no white space
-    always begins a new piece, so " word" gives the same ids wherever it stands. Texts
-    with a space after other white space are encoded whole instead.
+    always begins a new piece, so " word" gives the same ids wherever it stands. Texts in
+    which a space begins, ends or follows other white space are encoded whole instead.
+
+    Pieces are known by a 64-bit hash, and told apart by their length and first eight
+    bytes too; where two differ under one hash, the texts at hand are encoded whole. The
+    memory is two sorted tables, a large and a recent one, over one pool of ids.
     """
 
-    #: Pieces in each of two generations that one worker remembers: about 75 MB each.
-    MOST = 350_000
+    #: Pieces that one worker remembers: about 50 bytes each. Beyond it starts with the recent ones.
+    MOST = 2_500_000
     #: New pieces are encoded this many at a time, as one text.
     TOGETHER = 200
-    _odd = re.compile(r"\s ")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -239,46 +258,138 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Make the young generation hold all of ``pieces``."""
-        if len(self.young) > self.MOST:
-            self.young, self.old = {}, self.young
-        new = pieces.difference(self.young)
-        again = new.intersection(self.old)
-        self.young.update((p, self.old[p]) for p in again)
-        new = list(new.difference(again, ("",)))
-        self.young[""] = self._ids([" "])[0]
-        for i in range(0, len(new), self.TOGETHER):
-            some = new[i : i + self.TOGETHER]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(some):
-                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                self.young.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
-            else:  # not one opening token for each piece: singly
-                self.young.update(zip(some, self._ids([" " + p for p in some])))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        plain = [i for i, t in enumerate(texts) if not self._odd.search(t)]
-        out: list[bytes] = [b""] * len(texts)
-        rest = sorted(set(range(len(texts))).difference(plain))
-        for i, ids in zip(rest, self._ids([texts[i] for i in rest])):
+        self.pool = np.zeros(1 << 16, "<u4")
+        self.used = 0
+        self.base, self.recent = self._empty(), self._empty()
+
+    @staticmethod
+    def _empty() -> tuple[np.ndarray, ...]:
+        """Hash (sorted), check, start in the pool, number of ids."""
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _spaced(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of the pieces, each after a space, and how many ids each has; both in parts to be joined."""
+        ids, sizes = [], []
+        groups = [pieces[i : i + self.TOGETHER] for i in range(0, len(pieces), self.TOGETHER)]
+        for some, got in zip(groups, self.whole([" " + " ".join(g) for g in groups])):
+            starts = np.flatnonzero(self.opens[got])
+            if len(starts) == len(some):  # one opening token for each piece, or else singly
+                ids.append(got)
+                sizes.append(np.diff(starts, append=len(got)))
+            else:
+                singly = self.whole([" " + p for p in some])
+                ids += singly
+                sizes.append(np.array([len(i) for i in singly]))
+        return ids, sizes
+
+    def _remember(self, keys: np.ndarray, checks: np.ndarray, opening: np.ndarray, pieces: list[str]) -> None:
+        """Encode and add pieces; ``keys`` is sorted and new."""
+        ids, sizes = self._spaced([p for p, o in zip(pieces, opening) if not o])
+        alone = self.whole([p for p, o in zip(pieces, opening) if o])
+        ids, size = np.concatenate([*ids, *alone]), np.concatenate([*sizes, [len(i) for i in alone]]).astype(np.int64)
+        order = np.concatenate([np.flatnonzero(~opening), np.flatnonzero(opening)])
+        start = np.empty_like(size)
+        count = np.empty_like(size)
+        start[order] = self.used + np.cumsum(size) - size
+        count[order] = size
+        total = self.used + len(ids)
+        if total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool) // 2), "<u4")])
+        self.pool[self.used : total] = ids
+        self.used = total
+        self.recent = self._merged(self.recent, (keys, checks, start, count))
+        if len(self.recent[0]) > max(50_000, len(self.base[0]) // 8):
+            self.base, self.recent = self._merged(self.base, self.recent), self._empty()
+
+    def _forget(self) -> None:
+        """Keep the recent table alone."""
+        keys, checks, start, count = self.recent
+        ids = np.concatenate([np.zeros(0, "<u4"), *(self.pool[a : a + b] for a, b in zip(start, count))])
+        self.base, self.recent = self._empty(), (keys, checks, np.cumsum(count) - count, count)
+        self.pool, self.used = np.concatenate([ids, np.zeros(1 << 16, "<u4")]), len(ids)
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(found, check, start, size) of sorted keys."""
+        found, check, start, size = np.zeros(len(keys), bool), np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for table in (self.base, self.recent):
+            if len(table[0]):
+                at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+                hit = np.flatnonzero(table[0][at] == keys)
+                found[hit] = True
+                for out, column in zip((check, start, size), table[1:]):
+                    out[hit] = column[at[hit]]
+        return found, check, start, size
+
+    def _odd(self, array: pa.Array) -> np.ndarray:
+        """Rows in which a space begins, ends or follows other white space."""
+        raw, bounds = utf8(array)
+        back = np.concatenate([np.full(3, 32, np.uint8), raw])
+        space = np.flatnonzero(raw == 32)
+        one, two, three = back[space + 2], back[space + 1], back[space]
+        odd = _ASCII_SPACE[one]
+        odd |= (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+        odd |= ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
+        rows = np.searchsorted(bounds, space[odd], "right") - 1
+        out = np.zeros(len(array), bool)
+        out[rows] = True
+        some = np.flatnonzero(np.diff(bounds))
+        out[some] |= (raw[bounds[some]] == 32) | (raw[bounds[some + 1] - 1] == 32)
+        return out
+
+    def __call__(self, array: pa.Array) -> list[np.ndarray]:
+        """Each text's ids."""
+        odd = self._odd(array)
+        direct = np.flatnonzero(odd)
+        out: list = [None] * len(array)
+        for i, ids in zip(direct, self.whole(array.take(pa.array(direct)).to_pylist())):
+            out[i] = ids
+        plain = np.flatnonzero(~odd)
+        for i, ids in zip(plain, self._plain(array if len(plain) == len(array) else array.take(pa.array(plain)))):
             out[i] = ids
-        pieces = [texts[i].split(" ") for i in plain]
-        self._learn({p for ps in pieces for p in ps[1:]})
-        first = self._ids([ps[0] for ps in pieces])  # no space comes before it
-        get = self.young.__getitem__
-        for i, ps, head in zip(plain, pieces, first):
-            out[i] = head + b"".join(map(get, ps[1:]))
         return out
 
+    def _plain(self, array: pa.Array) -> list[np.ndarray]:
+        if len(self.base[0]) + len(self.recent[0]) > self.MOST:
+            self._forget()
+        words = Words(array, _BLANK)
+        n = len(words.hash)
+        if not n:
+            return [np.zeros(0, "<u4")] * len(array)
+        first = np.zeros(n, bool)
+        first[words.first[words.count > 0]] = True  # not after a space
+        key = np.where(first, mix(words.hash ^ np.uint64(0x5BD1E9955BD1E995)), words.hash)
+        size = words.end - words.start
+        padded = np.concatenate([words.raw, np.zeros(8, np.uint8)])
+        check = np.zeros(n, np.uint64)
+        for k in range(8):
+            check |= np.where(size > k, padded[words.start + k], 0).astype(np.uint64) << np.uint64(8 * k)
+        check = check * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64) * np.uint64(2) + first
+        keys, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+        checks = check[index]
+        found, had, start, count = self._find(keys)
+        if (checks[inverse] != check).any() or (had[found] != checks[found]).any():
+            return self.whole([t or "" for t in array.to_pylist()])
+        new = np.flatnonzero(~found)
+        if len(new):
+            raw = words.raw.tobytes()
+            at = index[new]
+            pieces = [raw[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
+            self._remember(keys[new], checks[new], first[at], pieces)
+            _, _, start, count = self._find(keys)
+        size = count[inverse]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(start[inverse] - (ends - size), size) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[np.append(words.first, n)]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -307,20 +418,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
 
     def write(batches):
         run = encoder(tokenizer)
-        end = struct.pack("<I", end_id)
+        schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
+        end = np.array([end_id], "<u4")
         doc_ids: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         total, number = 0, 0
 
         def flush(part):
             nonlocal total, number
-            ends = np.cumsum([len(h) // 4 for h in held])
+            ends = np.cumsum([len(h) for h in held])[1::2]  # after each document's end id
             path = f"{folder}/part-{part:06d}-{number:04d}.s8b"
-            write_file(path, pack(doc_ids, ends, np.frombuffer(b"".join(held), "<u4")))
-            row = pa.RecordBatch.from_pydict(
-                {"part": [part], "file": [number], "path": [path], "documents": [len(doc_ids)], "ids": [int(ends[-1])]},
-                schema=pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]),
-            )
+            write_file(path, pack(doc_ids, ends, np.concatenate(held)))
+            row = pa.RecordBatch.from_pydict({"part": [part], "file": [number], "path": [path], "documents": [len(doc_ids)], "ids": [int(ends[-1])]}, schema=schema)
             doc_ids.clear()
             held.clear()
             total, number = 0, number + 1
@@ -330,10 +439,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         for batch in batches:
             for piece in slices(batch, "text"):
                 part = piece.column(2)[0].as_py()
-                for d, ids in zip(piece.column(0).to_pylist(), run(piece.column(1).to_pylist())):
-                    doc_ids.append(d)
-                    held.append(ids + end)
-                    total += len(ids) // 4 + 1
+                doc_ids += piece.column(0).to_pylist()
+                for ids in run(piece.column(1)):
+                    held += (ids, end)
+                    total += len(ids) + 1
                 if total >= FILE_IDS:
                     yield flush(part)
         if doc_ids:
