@@ -4,8 +4,8 @@ A text is the set of its byte n-grams of every length from 1 to ``LENGTHS`` (ble
 spectrum), after lower-casing and with everything but letters as single spaces. The
 kernel of two texts is the cosine of their presence vectors, |A & B| / sqrt(|A| |B|).
 
-Training, on a bounded sample of labelled rows (``PER_LANGUAGE`` of each language, those
-whose ids hash lowest): ``LANDMARKS`` of the sample give the Nyström map, kernel ridge
+Training, on a bounded sample of labelled rows (``PER_LANGUAGE`` of each language and
+``SAMPLE`` in all, those whose ids hash lowest): ``LANDMARKS`` of the sample give the Nyström map, kernel ridge
 regression on the mapped sample gives one weight vector for each language against the
 rest. As the kernel is a dot product of presence vectors, landmarks, map and weights
 multiply out to one matrix of n-grams by languages; scoring is the product of a batch's
@@ -32,7 +32,7 @@ from ._common import slices, utf8, written
 BINS = 1 << 15
 LENGTHS = (1, 2, 3, 4)
 #: Bounds of the training sample and the kernel matrix, whatever the input's size.
-PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES = 400, 256, 500
+PER_LANGUAGE, SAMPLE, LANDMARKS = 400, 4000, 256
 RIDGE = 1e-3
 
 #: ASCII letters, and all bytes of other characters.
@@ -72,22 +72,27 @@ def presence(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Language names and the folded matrix (bins by languages) from presence rows."""
-    names = sorted(set(langs))
-    x = x.astype(np.float32)
+def _rows(bits: np.ndarray) -> np.ndarray:
+    """Packed presence rows as unit vectors."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    return x
+
+
+def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """Language names and the folded matrix (bins by languages) from packed presence rows."""
+    names = sorted(set(langs))
     y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
     order = np.argsort(np.array(langs), kind="stable")
     by_turn = np.argsort(np.concatenate([np.arange(c) for c in np.unique(np.array(langs), return_counts=True)[1]]), kind="stable")
-    marks = x[order[by_turn][:landmarks]]  # as many of each language as there are
+    marks = _rows(bits[order[by_turn][:landmarks]])  # as many of each language as there are
     kernel = (marks @ marks.T).astype(np.float64)
     value, vector = np.linalg.eigh(kernel)
     good = value > value[-1] * 1e-6
     half = vector[:, good] / np.sqrt(value[good])  # kernel ** -1/2 on its range
-    z = (x @ marks.T).astype(np.float64) @ half
+    z = np.concatenate([(_rows(bits[a : a + 256]) @ marks.T).astype(np.float64) @ half for a in range(0, len(bits), 256)])
     weights = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ y)
-    return names, (marks.T @ (half @ weights).astype(np.float32)).astype(np.float32)
+    return names, marks.T @ (half @ weights).astype(np.float32)
 
 
 def held_out() -> Column:
@@ -96,12 +101,14 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Fit on at most PER_LANGUAGE rows of each language (of MAX_LANGUAGES at most) not held out."""
+    """Fit on at most PER_LANGUAGE rows of each language, and SAMPLE in all, that are not held out."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     ids = rows.select("doc_id", "lang")
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= PER_LANGUAGE)
-    chosen = written(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().limit(PER_LANGUAGE * MAX_LANGUAGES), "lang-sample")
+    # the first of every language, then the second of every language, and so on
+    chosen = chosen.orderBy("n", "lang").limit(SAMPLE).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = written(chosen, "lang-sample")
     sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
 
     def pack(batches):
@@ -113,14 +120,11 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     got = sample.mapInArrow(pack, "doc_id bigint, lang string, bits binary").collect()  # 4 kB each, a bounded number
     got.sort(key=lambda r: (r.lang, r.doc_id, r.bits))
-    kept: list = []
-    for r in got:  # repeated ids may bring more rows than the bound
-        if sum(1 for k in kept[-PER_LANGUAGE:] if k.lang == r.lang) < PER_LANGUAGE:
-            kept.append(r)
-    if not kept:
+    kept = {(r.lang, r.doc_id): r for r in reversed(got)}  # repeated ids may bring more rows than the bound
+    got = [kept[k] for k in sorted(kept)]
+    if not got:
         return [], np.zeros((BINS, 0), np.float32)
-    x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in kept), np.uint8).reshape(len(kept), -1), axis=1)
-    return fit(x, [r.lang for r in kept])
+    return fit(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), [r.lang for r in got])
 
 
 def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, *keep: str) -> DataFrame:
