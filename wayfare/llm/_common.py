@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_dir, small, written  # noqa: F401
@@ -14,8 +15,28 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks between uses; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 # --------------------------------------------------------------------------- batches
 
+#: Session settings for tables of long texts: batches are bounded by what texts weigh, not by 4096 or 10,000 rows.
+LONG_TEXTS = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """``docs``, read and sent to Python in batches of bounded size; settings that are lower already stay."""
+    conf = docs.sparkSession.conf
+    for key, most in LONG_TEXTS.items():
+        now = str(conf.get(key)).lower().rstrip("b")
+        unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+        if int(now.rstrip("kmg")) * unit > most:
+            conf.set(key, str(most))
+    return docs
+
+
 SLICE_BYTES = 2_000_000
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, utf8, written
+from ._common import slices, texts, utf8, written
 
 BINS = 1 << 15
 LENGTHS = (1, 2, 3, 4)
@@ -43,11 +43,10 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _NO_LETTER = r"[^\p{L}\x00-\x7F]+"
 
 
-def presence(texts: pa.Array) -> np.ndarray:
+def presence(array: pa.Array) -> np.ndarray:
     """A row for each text: which bins its n-grams fall into (uint8)."""
-    n = len(texts)
-    texts = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), _NO_LETTER, " ")
-    raw, bounds = utf8(texts)
+    n = len(array)
+    raw, bounds = utf8(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(array.cast(pa.string()), "")), _NO_LETTER, " "))
     out = np.zeros((n, BINS), np.uint8)
     if not len(raw):
         return out
@@ -102,7 +101,7 @@ def held_out() -> Column:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Fit on at most PER_LANGUAGE rows of each language, and SAMPLE in all, that are not held out."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = texts(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     ids = rows.select("doc_id", "lang")
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= PER_LANGUAGE)
@@ -133,7 +132,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, *keep: str) -
     model = spark.sparkContext.broadcast(matrix)  # BINS x languages floats
     keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     own = "text" if "text" in keep else "_text"  # the text itself is kept, or only read
-    narrow = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if own in keep else [F.col("text").cast("string").alias(own)]))
+    narrow = texts(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if own in keep else [F.col("text").cast("string").alias(own)]))
     schema = narrow.select(*(F.col(f"`{c}`") for c in keep)).schema.add("lang_pred", "string").add("score", "double")
     drops = own not in keep
 
@@ -141,11 +140,11 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, *keep: str) -
         for batch in batches:
             at = batch.schema.get_field_index(own)
             for part in slices(batch, own, 200_000):
-                texts = part.column(at)
-                known = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
+                array = part.column(at)
+                known = np.asarray(pc.fill_null(pc.match_substring_regex(array, r"\p{L}"), False))
                 pred, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
                 for a in range(0, part.num_rows if names else 0, 128):
-                    x = presence(texts[a : a + 128])
+                    x = presence(array[a : a + 128])
                     f = x.astype(np.float32) @ model.value / np.sqrt(np.maximum(x.sum(axis=1, dtype=np.int64), 1))[:, None]
                     best = f.argmax(axis=1)
                     some = np.flatnonzero(known[a : a + 128])

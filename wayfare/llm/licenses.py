@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NO_WORD, Words, slices
+from ._common import NO_WORD, Words, slices, texts
 
 K, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.6
 
@@ -184,7 +184,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 columns = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id bigint, license string, start int, end int, coverage double")
 
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small, text_or_empty, written
+from ._common import on_disk, small, text_or_empty, texts, written
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE, BUDGET, SWEEPS, TOLERANCE, LOCAL_CELLS, SEED = 0.7, 0.7, 50, 1e-6, 200_000, 23
@@ -49,7 +49,7 @@ def with_cells(docs: DataFrame) -> DataFrame:
     """``docs`` with _source, _lang, _topic and _tokens (words)."""
     text = text_or_empty()
     own = F.col("topic").cast("string") if "topic" in docs.columns else topic(text)
-    return docs.withColumns({"_source": F.col("source").cast("string"), "_lang": F.col("lang").cast("string"), "_topic": own, "_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")})
+    return texts(docs).withColumns({"_source": F.col("source").cast("string"), "_lang": F.col("lang").cast("string"), "_topic": own, "_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")})
 
 
 def _targets(totals: dict, given: dict | None, temperature: float) -> dict:
@@ -167,7 +167,7 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, te
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, raked ratio, probability, weight and fate."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    celled = written(with_cells(docs).select("doc_id", "_source", "_lang", "_topic", "_tokens"), "mix-documents")
+    celled = on_disk(with_cells(docs).select("doc_id", "_source", "_lang", "_topic", "_tokens"))
     drawn = _drawn(celled, probabilities(celled), SEED)
     r = lambda c: F.round(F.col(c), 6).alias(c[1:])
     return drawn.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), r("_ratio"), r("_prob"), r("_weight"), F.col("_kept").alias("kept"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import star_components
-from ._common import Words, fixed_binary, mix, slices, small, written
+from ._common import Words, fixed_binary, mix, on_disk, slices, small, texts, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Largest part of a group that meets itself or another part in one task: texts, and n-grams.
@@ -178,9 +178,9 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     """One row per document: doc_id, node (MD5 of its text), class_id (least id of its near-duplicate class), n_links."""
     bands, rows = choose_bands(threshold, recall)
     text = F.col("text").cast("string")
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
+    keyed = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
     signed = keyed.mapInArrow(_signatures(bands, rows, n), "doc_id bigint, node binary, grams bigint, bands array<bigint>")
-    signed = written(signed, "near-signatures")
+    signed = on_disk(signed)
     classes = signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("grams").alias("grams"), F.first("bands").alias("bands")
     )
@@ -200,7 +200,7 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     source = keyed.join(small(members.select(F.col("node").alias("node_"), F.col("least").alias("least_"), "comp", "parts", "weight"), 300_000), F.col("doc_id").eqNullSafe(F.col("least_")) & (F.col("node") == F.col("node_")))
     source = source.select("node", "comp", "parts", "weight", "text")
     sets = source.mapInArrow(_gram_sets(n), "node binary, comp binary, parts int, weight bigint, grams binary")
-    sets = written(sets, "near-sets").dropDuplicates(["node"])
+    sets = sets.dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("a"), F.greatest(p, F.col("own")).alias("b")))
     units = sets.withColumn("own", own).select("comp", F.explode(others).alias("u"), "own", "node", "parts", "weight", "grams")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import slices, texts
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("masked_email", "login_url", "iban", "account", "national_id", "street", "secret")
@@ -222,7 +222,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 spans = [[dict(zip(("kind", "start", "end"), s)) for s in find(t or "")] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(spans, _ARROW)], schema=schema)
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, f"doc_id bigint, spans {SPANS}")
 
 
@@ -245,7 +245,7 @@ def redact(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 yield part.set_column(i, "text", pa.array([clean(t) for t in part.column(i).to_pylist()], pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts(docs).mapInArrow(run, docs.schema)
 
 
 def _joined(spans: Column) -> Column:

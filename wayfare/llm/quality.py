@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, slices, small, written
+from ._common import Words, on_disk, slices, small, texts, written
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 5000
@@ -45,14 +45,14 @@ def _distinct(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row[fresh], minlength=n)
 
 
-def features(texts: pa.Array) -> np.ndarray:
+def features(array: pa.Array) -> np.ndarray:
     """One row of FEATURES for each text."""
-    n = len(texts)
-    words = Words(texts)
+    n = len(array)
+    words = Words(array)
     size = words.count.astype(float)
     chars = np.diff(words.bounds).astype(float)
     runs, run_row, run_count = words.windows(3)
-    lines = Words(texts, _LINE)
+    lines = Words(array, _LINE)
     share = lambda a, b: a / np.maximum(b, 1)
     kept = np.diff(np.concatenate([[0], np.cumsum(words.end - words.start)])[np.append(words.first, len(words.hash))]).astype(float)
     columns = [
@@ -97,6 +97,7 @@ def evidence(docs: DataFrame, labels: DataFrame, *keep: Column) -> DataFrame:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(list(features(part.column(2))), pa.list_(pa.float64()))], schema=schema)
 
+    docs = texts(docs)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # 2 * SAMPLE rows
     # repeated ids could bring more rows than the bound; one of each is enough
     got = sample.select("doc_id", F.col("_quality").alias("quality"), "text").mapInArrow(measure, "doc_id bigint, quality int, x array<double>").dropDuplicates(["doc_id"]).collect()
@@ -159,7 +160,7 @@ def site_posteriors(judged: DataFrame, *keep: str, strength: float = 1.0) -> Dat
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, cutoff: float = 0.5) -> DataFrame:
     """doc_id, host, path, evidence, host_rate, path_rate, posterior, kept."""
-    judged = written(evidence(docs, labels, F.col("doc_id"), host.alias("host"), path.alias("path")), "quality-evidence")
+    judged = on_disk(evidence(docs, labels, F.col("doc_id"), host.alias("host"), path.alias("path")))
     return site_posteriors(judged, "doc_id", "host", "path").withColumn("kept", F.col("posterior") >= cutoff)
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small, text_or_empty, written
+from ._common import on_disk, small, text_or_empty, texts, written
 from ._exact import binomial_cdf
 
 #: Each rule: a measure in [0, 1] and its cutoffs, most lenient first. Fixed beforehand, so that the tests hold.
@@ -82,7 +82,7 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     removed = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
     upper = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    out = docs.select(
+    out = texts(docs).select(
         *keep,
         F.size(words).cast("bigint").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
@@ -140,10 +140,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, stratum: str = "lang") -> DataFrame:
     """One row per document: base measures, ``base_failed``, ``kept`` and the first rule that rejects.
 
-    The measures are written once to the shared folder, as narrow rows: they serve the
-    calibration and the verdicts.
+    The measures, narrow rows, are kept on disk: they serve the calibration and the
+    verdicts.
     """
-    measured = written(measures(docs, "doc_id", stratum), "rule-measures")
+    measured = on_disk(measures(docs, "doc_id", stratum))
     limits = written(cutoffs(measured, labels, alpha, delta, stratum), "rule-cutoffs")
     joined = measured.join(small(limits, 100_000), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
     broken = F.coalesce(*(F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RULES))

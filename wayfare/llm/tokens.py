@@ -41,7 +41,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, mix, shared_dir, slices, utf8
+from ._common import Words, mix, shared_dir, slices, texts, utf8
 
 MAGIC = b"WFS8B\0\0\1"
 BLOCK = 1024
@@ -411,7 +411,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
     Manifest: part, file (in order within the part), path, documents, ids. Range
     partitions keep the order; their number follows the data, as Spark's settings say.
     """
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ordered = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     ordered = ordered.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
