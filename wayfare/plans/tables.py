@@ -22,10 +22,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def written(df: DataFrame, name: str, compact: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    ``compact``: about one file for each core, which is as many tasks as can run at once,
+    instead of one for each shuffle partition. Leave it out where the last stage is heavy.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if compact:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
