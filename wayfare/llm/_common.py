@@ -153,9 +153,8 @@ class Words:
         length = np.minimum(self.count, k)[self.row]  # words in a run of this row
         place = np.arange(n) - self.first[self.row]
         for i in range(k):
-            part = self.hash[i:] if i else self.hash
-            use = length[: n - i] > i if i else length > 0
-            h[: n - i] = np.where(use, h[: n - i] * np.uint64(0x2545F4914F6CDD1D) + part, h[: n - i])
+            m = max(n - i, 0)
+            h[:m] = np.where(length[:m] > i, h[:m] * np.uint64(0x2545F4914F6CDD1D) + self.hash[i:], h[:m])
         keep = place <= (self.count[self.row] - length)
         runs = np.where(self.count > 0, np.maximum(self.count - k, 0) + 1, 0)
         return mix(h[keep]), self.row[keep], runs

@@ -67,7 +67,7 @@ def _local_weights(cells: list, targets: dict | None, temperature: float) -> np.
     for d, name in enumerate(DIMENSIONS):
         values = sorted({c[d] for c in cells}, key=lambda v: (v is None, v or ""))
         place = {v: i for i, v in enumerate(values)}
-        code = np.array([place[c[d]] for c in cells])
+        code = np.array([place[c[d]] for c in cells], int)
         totals = np.bincount(code, tokens, minlength=len(values))
         want = _targets(dict(zip(values, totals)), (targets or {}).get(name), temperature)
         sides.append((code, np.array([want[v] for v in values]) * tokens.sum()))

@@ -207,7 +207,7 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     units = units.select("comp", "u.a", "u.b", "own", "node", "parts", "weight", "grams")
     units = units.repartition(F.col("comp"), F.col("a"), F.col("b")).sortWithinPartitions("comp", "a", "b")
     found = units.mapInArrow(_verify(threshold), "node binary, root binary, parts int, links bigint")
-    found = written(found, "near-found")
+    found = on_disk(found)
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = found.where("parts = 1").select("node", "root")
@@ -238,7 +238,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = written(classes.groupBy("doc_id", "node").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")), "near-ids")
     mark = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     same = (F.col("doc_id") == F.col("_id")) & (F.unhex(F.md5(F.col("text").cast("string"))) == F.col("_node"))
-    gone = written(mark(ids.where("class_id <> doc_id")), "near-gone")
+    # of a class's rows of the least id, one text stays
+    chosen = ids.where("class_id = doc_id").groupBy(F.col("class_id").alias("_class")).agg(F.min("node").alias("_chosen"))
+    gone = ids.where("class_id <> doc_id").select("doc_id", "node").unionByName(
+        ids.where("class_id = doc_id").join(chosen, (F.col("class_id") == F.col("_class")) & (F.col("node") != F.col("_chosen")), "left_semi").select("doc_id", "node")
+    )
+    gone = written(mark(gone), "near-gone")
     kept = docs.join(small(gone, 1_000_000), same, "left_anti")
     again = written(mark(ids.where("class_id = doc_id and n > 1")), "near-again")
     if again.isEmpty():
