@@ -40,10 +40,10 @@ def vertex_statistics(graph: PropertyGraph, names: list[str], partitions: int =
         for w in wanted[1:]:
             keep = keep | w
         long = long.where(keep)
-    total = v.agg(F.count("*").alias("_total"))
+    total = max(v.count(), 1)
     grouped = long.join(degrees(graph, partitions), "id").groupBy("property", "value").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in _SUMS))
     ratios = [(F.col(c) / F.col("n")).alias(f"avg_{c.replace('_degree', '')}") for c in _SUMS]
-    return grouped.crossJoin(F.broadcast(total)).select("property", "value", "n", (F.col("n") / F.col("_total")).alias("probability"), *ratios)  # total is one row
+    return grouped.select("property", "value", "n", (F.col("n") / F.lit(total)).alias("probability"), *ratios)
 
 
 def edge_statistics(graph: PropertyGraph, names: list[str], values: dict[str, list[str]] | None = None) -> DataFrame:
@@ -56,18 +56,24 @@ def edge_statistics(graph: PropertyGraph, names: list[str], values: dict[str, li
         for n, vs in values.items():
             keep = keep | ((F.col("property") == n) & F.col("value").isin(vs))
         long = long.where(keep)
-    total = e.agg(F.count("*").alias("_total"))
-    return long.groupBy("property", "value").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("property", "value", "n", (F.col("n") / F.col("_total")).alias("probability"))
+    total = max(e.count(), 1)
+    return long.groupBy("property", "value").agg(F.count("*").alias("n")).withColumn("probability", F.col("n") / F.lit(total))
 
 
 def graph_totals(graph: PropertyGraph, partitions: int = 1) -> DataFrame:
     """One row: vertices, edges, remote_edges, and remote_vertices (distinct (partition, vertex) reached from outside)."""
-    v = graph.vertices.agg(F.count("*").alias("vertices"))
     p = lambda c: partition_of(F.col(c), partitions)
     remote = p("src") != p("dst")
-    e = graph.edges.agg(F.count("*").alias("edges"), F.sum(remote.cast("bigint")).alias("remote_edges"))
-    proxies = graph.edges.where(remote).select(p("src").alias("p"), "dst").distinct().agg(F.count("*").alias("remote_vertices"))
-    return v.crossJoin(e).crossJoin(proxies).select("vertices", "edges", F.coalesce("remote_edges", F.lit(0)).cast("bigint").alias("remote_edges"), "remote_vertices")  # one row each
+    names = ("vertices", "edges", "remote_edges", "remote_vertices")
+
+    def row(frame: DataFrame, **counts) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        return frame.agg(*(F.coalesce(counts[n], zero).alias(n) if n in counts else F.max(zero).alias(n) for n in names))
+
+    v = row(graph.vertices, vertices=F.count("*"))
+    e = row(graph.edges, edges=F.count("*"), remote_edges=F.sum(remote.cast("bigint")))
+    proxies = row(graph.edges.where(remote).select(p("src").alias("p"), "dst").distinct(), remote_vertices=F.count("*"))
+    return v.unionByName(e).unionByName(proxies).agg(*(F.sum(n).alias(n) for n in names))
 
 
 def graph_stats(graph: PropertyGraph) -> DataFrame:
