@@ -255,3 +255,13 @@ def test_checks_and_views(g0, spark):
     assert find_vertices(bag, "a:string[x]").count() == 1
     flat = bag.promote(["a"], ["b"])
     assert flat.vertices.columns == ["id", "a"] and match(flat, "a:string[x]@out?b:string[y]").count() == 1
+
+
+def test_calibration(g0):
+    from wayfare.plans.calibrate import calibrate, probes
+
+    p = probes(g0, 1)
+    assert set(p) == {"idle", "scan", "expand", "shuffle", "join"} and all(x >= 0 for x in p.values())
+    c = calibrate(g0, 1)
+    q = parse_path("c:string[US]@out?@c:string[DE]")
+    assert choose_start(q, collect_stats(g0, q), c) in (0, 1)
