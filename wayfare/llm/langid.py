@@ -5,7 +5,7 @@ spectrum), after lower-casing and with everything but letters as single spaces.
 kernel of two texts is the cosine of their presence vectors, |A & B| / sqrt(|A| |B|).
 
 Training, on a bounded sample of labelled rows (``PER_LANGUAGE`` of each language and
-``SAMPLE`` in all, those whose ids hash lowest): ``LANDMARKS`` of the sample give the Nyström map, kernel ridge
+``SAMPLE`` in all, those whose ids hash lowest; the ``MAX_LANGUAGES`` most frequent): ``LANDMARKS`` of the sample give the Nyström map, kernel ridge
 regression on the mapped sample gives one weight vector for each language against the
 rest. As the kernel is a dot product of presence vectors, landmarks, map and weights
 multiply out to one matrix of n-grams by languages; scoring is the product of a batch's
@@ -24,15 +24,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices, texts, utf8, written
+from ._common import least_hashed, slices, texts, utf8, written
 
 BINS = 1 << 15
 LENGTHS = (1, 2, 3, 4)
 #: Bounds of the training sample and the kernel matrix, whatever the input's size.
-PER_LANGUAGE, SAMPLE, LANDMARKS = 400, 4000, 256
+PER_LANGUAGE, SAMPLE, LANDMARKS, MAX_LANGUAGES = 400, 4000, 256, 250
 RIDGE = 1e-3
 
 #: ASCII letters, and all bytes of other characters.
@@ -101,10 +101,10 @@ def held_out() -> Column:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Fit on at most PER_LANGUAGE rows of each language, and SAMPLE in all, that are not held out."""
-    rows = texts(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = rows.select("doc_id", "lang")
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= PER_LANGUAGE)
+    labelled = texts(docs).where(~held_out() & F.col("lang").isNotNull())
+    largest = labelled.groupBy(F.col("lang").alias("_known")).count().orderBy(F.desc("count"), "_known").limit(MAX_LANGUAGES)
+    rows = labelled.join(F.broadcast(written(largest, "languages")), F.col("lang") == F.col("_known"), "left_semi").where(F.col("text").rlike(r"\p{L}"))
+    chosen = least_hashed(rows.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE)
     # the first of every language, then the second of every language, and so on
     chosen = chosen.orderBy("n", "lang").limit(SAMPLE).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     chosen = written(chosen, "lang-sample")

@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, on_disk, slices, small, texts, written
+from ._common import Words, least_hashed, on_disk, slices, small, texts, written
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 5000
@@ -86,9 +86,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> n
 
 def evidence(docs: DataFrame, labels: DataFrame, *keep: Column) -> DataFrame:
     """The ``keep`` columns and ``evidence``, each document's own probability of being good."""
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    turn = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= SAMPLE)
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    picked = least_hashed(known, "doc_id", "quality", SAMPLE)
     picked = written(picked.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")), "quality-sample")
 
     def measure(batches):
