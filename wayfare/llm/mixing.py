@@ -27,22 +27,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.prefix import sum_before
 from ._common import on_disk, small, text_or_empty, texts, written
 
 DIMENSIONS = ("source", "lang", "topic")
-TEMPERATURE, BUDGET, SWEEPS, TOLERANCE, LOCAL_CELLS, SEED = 0.7, 0.7, 50, 1e-6, 200_000, 23
+#: Pattern and topic, the first that matches; without any, short texts are notes and others prose.
+TOPICS = ((r"\| [^ |]+ \|", "table"), (r"[#*$%&]{3}", "markup"), (r"(?i)licen[cs]e|copyright|rights reserved", "legal"), (r"[a-z0-9]@[a-z0-9]|\+[0-9]", "contact"))
+TEMPERATURE, BUDGET, SWEEPS, TOLERANCE, LOCAL_CELLS, SEED = 0.7, 0.7, 100, 1e-12, 200_000, 23
 
 
 def topic(text: Column) -> Column:
     """A plain topic by the form of the text, where the table has no topics."""
-    return (
-        F.when(text.rlike(r"\| [^ |]+ \|"), "table")
-        .when(text.rlike(r"[#*$%&]{3}"), "markup")
-        .when(text.rlike(r"(?i)licen[cs]e|copyright|rights reserved"), "legal")
-        .when(text.rlike(r"[a-z0-9]@[a-z0-9]|\+[0-9]"), "contact")
-        .when(F.length(text) < 400, "note")
-        .otherwise("prose")
-    )
+    kind = F.when(text.rlike(TOPICS[0][0]), TOPICS[0][1])
+    for pattern, name in TOPICS[1:]:
+        kind = kind.when(text.rlike(pattern), name)
+    return kind.when(F.length(text) < 400, "note").otherwise("prose")
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
@@ -115,19 +114,32 @@ def _raked_table(cells: DataFrame, targets: dict | None, temperature: float) ->
     return now
 
 
-def _scale(expected, total: float, budget: float) -> float:
-    """The c at which ``expected(list of c)`` first reaches the budget: a grid, refined."""
-    low, high = 0.0, 1.0
-    while (got := expected([high])[0]) < budget * total and high < 1e9:
-        if got >= total * (1 - 1e-12):
-            return high
-        high *= 4
-    for _ in range(6):
-        grid = list(np.linspace(low, high, 33)[1:])
-        sums = expected(grid)
-        k = next((i for i, s in enumerate(sums) if s >= budget * total), len(grid) - 1)
-        low, high = (grid[k - 1] if k else low), grid[k]
-    return float(high)
+def _scale(tokens: np.ndarray, weight: np.ndarray, budget: float) -> float:
+    """The c at which the sum of tokens * min(1, c * weight) is the budget's share of all tokens.
+
+    With cells by falling weight, c is linear as long as the same first cells are at 1.
+    Where not even all cells with a weight reach the budget, c puts them all at 1.
+    """
+    order = np.argsort(-weight, kind="stable")
+    t, w = tokens[order], weight[order]
+    free = np.cumsum((t * w)[::-1])[::-1]  # of the cells from here on
+    need = budget * tokens.sum() - (np.cumsum(t) - t)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = need / free
+    good = np.flatnonzero((free > 0) & (c * w <= 1 + 1e-12))
+    some = w[(w > 0) & (t > 0)]
+    return float(c[good[0]]) if len(good) else float(1 / some.min()) if len(some) else 1.0
+
+
+def _table_scale(raked: DataFrame, budget: float) -> float:
+    """As ``_scale``, with running sums by ranges."""
+    whole = raked.agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("weight")).alias("tw"), F.min(F.when((F.col("weight") > 0) & (F.col("tokens") > 0), F.col("weight"))).alias("least")).first()
+    cells = raked.withColumns({"fall": -F.col("weight"), "tw": F.col("tokens") * F.col("weight")})
+    cells = sum_before(sum_before(cells, "tokens", "fall", *DIMENSIONS, out="t_before"), "tw", "fall", *DIMENSIONS, out="tw_before")
+    c = (budget * float(whole.t or 0) - F.col("t_before")) / (float(whole.tw or 0.0) - F.col("tw_before"))
+    good = cells.withColumn("c", c).where((float(whole.tw or 0.0) - F.col("tw_before") > 0) & (F.col("c") * F.col("weight") <= 1 + 1e-12))
+    first = good.agg(F.min_by("c", F.struct("fall", *DIMENSIONS))).first()[0]
+    return first if first is not None else 1 / whole.least if whole.least else 1.0
 
 
 def probabilities(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, local_cells: int = LOCAL_CELLS) -> DataFrame:
@@ -139,12 +151,11 @@ def probabilities(docs: DataFrame, targets: dict | None = None, budget: float =
         rows = sorted((tuple(r) for r in cells.collect()), key=lambda r: tuple((v is None, v or "") for v in r[:3]))
         weight = _local_weights(rows, targets, temperature)
         tokens = np.array([r[3] for r in rows], float)
-        c = _scale(lambda grid: [float((tokens * np.minimum(1, g * weight)).sum()) for g in grid], float(tokens.sum()), budget) if len(rows) else 1.0
+        c = _scale(tokens, weight, budget)
         raked = spark.createDataFrame([(*r, float(w)) for r, w in zip(rows, weight)], "source string, lang string, topic string, tokens bigint, weight double")
     else:
         raked = _raked_table(cells, targets, temperature)
-        total = float(raked.agg(F.sum("tokens")).first()[0] or 0)
-        c = _scale(lambda grid: list(raked.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), g * F.col("weight"))).alias(f"c{i}") for i, g in enumerate(grid))).first()), total, budget)
+        c = _table_scale(raked, budget)
     prob = F.least(F.lit(1.0), c * F.col("weight"))
     return written(raked.select(*DIMENSIONS, F.col("weight").alias("ratio"), prob.alias("prob"), F.when(prob > 0, c * F.col("weight") / prob).otherwise(0.0).alias("weight")), "mix-probabilities")
 
@@ -153,7 +164,7 @@ def _drawn(docs: DataFrame, cells: DataFrame, seed: int) -> DataFrame:
     """``docs`` (with cells) with ratio, prob, weight, and whether the document is drawn."""
     side = small(cells.select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), F.col("ratio").alias("_ratio"), F.col("prob").alias("_prob"), F.col("weight").alias("_weight")), LOCAL_CELLS)
     same = [F.col(f"_{d}").eqNullSafe(F.col(f"_c_{d}")) for d in DIMENSIONS]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") / float(1 << 53)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     return docs.join(side, same[0] & same[1] & same[2], "left").withColumn("_kept", F.coalesce(u < F.col("_prob"), F.lit(False)))
 
 
@@ -164,6 +175,29 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, te
     return _drawn(celled, cells, seed).where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def mixture_sql(sweeps: int = 60) -> str:
+    """``op2`` for DuckDB: as many sweeps as bring the cells to rest, one after the other."""
+    topics = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for p, name in TOPICS)
+    steps, last = [], "c"
+    for i in range(sweeps):
+        for d in DIMENSIONS:
+            steps.append(f"{d}{i} AS MATERIALIZED (SELECT * REPLACE (weight * coalesce(want_{d} / nullif(sum(tokens * weight) OVER (PARTITION BY {d}), 0), 1) AS weight) FROM {last})")
+            last = f"{d}{i}"
+    shares = ", ".join(f"(SELECT sum(p) FROM (SELECT CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {TEMPERATURE}) ELSE 0 END AS p FROM k GROUP BY {d})) AS all_{d}" for d in DIMENSIONS)
+    wants = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {d}), {TEMPERATURE}) / all_{d} * (SELECT sum(tokens) FROM k) AS want_{d}" for d in DIMENSIONS)
+    return f"""WITH a AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+  d AS (SELECT doc_id, source, lang, CASE {topics} WHEN length(t) < 400 THEN 'note' ELSE 'prose' END AS topic, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM a),
+  k AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+  c AS MATERIALIZED (SELECT source, lang, topic, tokens, {wants}, 1.0::DOUBLE AS weight FROM k, (SELECT {shares})),
+  {", ".join(steps)},
+  o AS (SELECT *, sum(tokens) OVER fall - tokens AS t_before, sum(tokens * weight) OVER () - (sum(tokens * weight) OVER fall - tokens * weight) AS free FROM {last} WINDOW fall AS (ORDER BY weight DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
+  x AS (SELECT arg_min(c, -weight) AS c FROM (SELECT weight, ({BUDGET} * (SELECT sum(tokens) FROM k) - t_before) / free AS c FROM o WHERE free > 0) WHERE c * weight <= 1 + 1e-12),
+  p AS (SELECT source, lang, topic, weight AS ratio, least(1.0, c * weight) AS prob, CASE WHEN c * weight > 0 THEN c * weight / least(1.0, c * weight) ELSE 0 END AS weight FROM o, x)
+  SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(ratio, 6) AS ratio, round(prob, 6) AS prob, round(weight, 6) AS weight,
+    ('0x' || substr(md5(concat_ws(':', '{SEED}', doc_id::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0 < prob AS kept
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic"""
+
+
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, raked ratio, probability, weight and fate."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

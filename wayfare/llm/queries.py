@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op6_latent_decontamination
 from .langid import op9_string_kernel_langid
 from .licenses import op7_license_scan
-from .mixing import op2_raked_mixture
+from .mixing import mixture_sql, op2_raked_mixture
 from .near import op3_minhash_join
 from .pii import op1_anchor_pii
 from .quality import op5_hierarchical_quality
 from .rules import op10_risk_controlled_rules
+from .rules_sql import rules_sql
 from .sharding import op8_hypergeometric_shards
 from .tokens import op4_simple8b_tokens
 
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_raked_mixture": mixture_sql(), "op10_risk_controlled_rules": rules_sql()}
