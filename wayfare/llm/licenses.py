@@ -12,8 +12,9 @@ by word, in a band around the diagonal; matched words give the coverage (matched
 template words), the first and last of them the span. A match is reported from
 ``COVERAGE`` on. Several copies in one text are separate matches.
 
-Defined results: null, empty and clean texts have no rows in ``scan`` (the query counts
-them as 0); repeated rows have their matches each; extra columns are ignored.
+Defined results: null, empty and clean texts have no rows; repeated rows have their
+matches each; of matches that overlap in a text the one of most words stays; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ File format, all little-endian, one file for each range of documents in order:
 
     magic  8 bytes   "WFS8B\\0\\0\\1"
     header 4 x int64 documents, ids, blocks, ids in a block
-    index            int64 document ids (documents + 1 validity bytes packed as int64 0/1 follow),
-                     int64 end position of each document's ids in the file
+    index            int64 id of each document (0 where it has none)
+                     int64 1 for each document that has an id, else 0
+                     int64 end of each document's ids in the file
                      int64 first word of each block, and one end
     words            64-bit words
 
