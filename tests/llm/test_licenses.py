@@ -63,3 +63,27 @@ def test_spans_and_awkward_rows(spark, make, awkward, empty, tmp_path):
     assert {r.doc_id for r in op7_license_scan(spark, str(tmp_path)).collect()} == {50, 51}
     assert scan(empty).count() == 0
     assert scan(docs, {"own": "x y z"}).where("license = 'own'").count() == 2
+
+
+def test_every_planted_line_and_whole_texts(make):
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice",
+        "Released under the MIT License.": "MIT-notice",
+        "All rights reserved.": "All-rights-reserved",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-notice",
+        "Licensed under CC BY-SA 3.0.": "CC-BY-SA-3.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0-notice",
+        "Under the GNU Affero General Public License, version 3.": "AGPL-3.0-notice",
+        "Licensed under the BSD 2-Clause License.": "BSD-2-Clause-notice",
+    }
+    whole = ["MIT-text", "BSD-2-Clause-text", "Apache-2.0-text", "MPL-2.0-text", "GPL-2.0-text", "GPL-3.0-text", "LGPL-2.1-text"]
+    docs = make([(i, f"alpha beta\n{line}\ngamma delta") for i, line in enumerate(lines)] + [(100 + i, f"alpha beta\n{TEMPLATES[name]}\ngamma delta") for i, name in enumerate(whole)])
+    got = {}
+    for r in scan(docs).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert {i: [r.license for r in rows] for i, rows in got.items()} == {**{i: [n] for i, n in enumerate(lines.values())}, **{100 + i: [n] for i, n in enumerate(whole)}}
+    for i, name in enumerate(whole):  # from the first word to the last
+        r = got[100 + i][0]
+        assert r.coverage == 1.0 and r.end - r.start >= len(TEMPLATES[name].strip()) - 10

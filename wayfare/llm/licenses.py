@@ -6,11 +6,12 @@ that any common run of ``K + WINDOW - 1`` words shares a fingerprint. The templa
 fingerprints are an inverted index: hash to (template, place). Templates shorter than
 such a run keep all their hashes, so that a whole copy is always found.
 
-In a text, hits of one template on nearby diagonals (place in text minus place in
-template) make a candidate. The candidate's window is aligned with the template, word
-by word, in a band around the diagonal; matched words give the coverage (matched /
-template words), the first and last of them the span. A match is reported from
-``COVERAGE`` on. Several copies in one text are separate matches.
+In a text, the diagonals of a template's hits (place in text minus place in template)
+are candidates, those with most hits nearby first. The candidate's window is aligned with
+the template, word by word, in a band around the diagonal; matched words give the
+coverage (matched / template words), the first and last of them the span. A match is
+reported from ``COVERAGE`` on, and its words are taken out of the text; hits in what is
+left are tried on, so several copies in one text are separate matches, however close.
 
 Defined results: null, empty and clean texts have no rows; repeated rows have their
 matches each; of matches that overlap in a text the one of most words stays; extra
@@ -19,6 +20,8 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pkgutil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +49,39 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "All-rights-reserved": "All rights reserved.",
+    "GPL-2.0-notice": "GNU General Public License, version 2.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "GNU Affero General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "EPL-2.0-notice": "Licensed under the Eclipse Public License, Version 2.0.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
+    "CC0-1.0-notice": "Licensed under CC0 1.0.",
+}
+
+_BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEMPLATES |= {
+    "MIT-text": TEMPLATES["MIT"] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": TEMPLATES["ISC"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": _BSD_CONDITIONS,
+    "BSD-2-Clause-text": f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
+    "BSD-3-Clause-text": f"{TEMPLATES['BSD-3-Clause']} {_BSD_DISCLAIMER}",
 }
+#: The Creative Commons licenses of each version, by their short and their long names.
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _version, _port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+    for _short, _long in CC.items():
+        TEMPLATES[f"CC-{_short}-{_version}"] = f"This work is licensed under a Creative Commons {_long} {_version} {_port} License."
+        TEMPLATES[f"CC-{_short}-{_version}-notice"] = f"Licensed under CC {_short} {_version}."
+#: Whole licenses, in files of the package.
+WHOLE = ("Apache-2.0", "Artistic-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")
+for _name in WHOLE:
+    TEMPLATES[f"{_name}-text"] = pkgutil.get_data(__package__, f"license_texts/{_name}.txt").decode()
 
 
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -113,6 +148,17 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
     return best[0], -best[2], best[3]
 
 
+def most_matches(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> int:
+    """Template words that stand in the text within the band: ``align`` matches no more."""
+    near = np.zeros(len(text) + len(template) + 2 * abs(shift) + 4 * band, np.uint64)
+    pad = abs(shift) + band
+    near[pad : pad + len(text)] = text
+    found = np.zeros(len(template), bool)
+    for d in range(-band, band + 1):
+        found |= near[pad + shift + d : pad + shift + d + len(template)] == template
+    return int(found.sum())
+
+
 def find_licenses(words: Words, index: Index, coverage: float = COVERAGE) -> list[tuple[int, int, int, int, float]]:
     """(row, template, first word, last word, coverage) of each match in a slice's words."""
     hashes, row, runs = words.windows(K)
@@ -126,20 +172,29 @@ def find_licenses(words: Words, index: Index, coverage: float = COVERAGE) -> lis
     place = at - first_hash[row[at]]  # word place in its text
     template, shift = index.template[entry], place - index.place[entry]
     order = np.lexsort((place, shift, template, row[at]))
+    group = np.flatnonzero(np.diff(row[at][order] * len(index.words) + template[order], prepend=-1))
     out = []
-    last = None
-    for o in order:
-        r, t, s = int(row[at[o]]), int(template[o]), int(shift[o])
-        if last and last[:2] == (r, t) and s - last[2] <= BAND:
-            continue  # the same candidate
-        last = (r, t, s)
-        a = words.first[r]
-        text = words.hash[a : a + words.count[r]]
-        lo = max(0, s - BAND)
-        hi = min(len(text), s + len(index.words[t]) + BAND)
-        matched, i, j = align(text[lo:hi], index.words[t], s - lo)
-        if matched and matched / len(index.words[t]) >= coverage:
-            out.append((r, t, lo + i, lo + j, matched / len(index.words[t])))
+    for mine in np.split(order, group[1:]) if len(order) else []:
+        r, t = int(row[at[mine[0]]]), int(template[mine[0]])
+        own, a = index.words[t], words.first[r]
+        text = words.hash[a : a + words.count[r]].copy()
+        free = np.ones(len(text), bool)
+        s, p = shift[mine], place[mine]
+        support = np.searchsorted(s, s + BAND, "right") - np.searchsorted(s, s - BAND, "left")
+        failed = set()  # what is taken out of a text later makes no shift better
+        for o in np.lexsort((p, s, -support)):  # the diagonals of most hits first
+            at_shift, at_place = int(s[o]), int(p[o])
+            while at_shift not in failed and free[at_place : at_place + K].all():
+                lo, hi = max(0, at_shift - BAND), min(len(text), at_shift + len(own) + BAND)
+                matched = 0
+                if most_matches(text[lo:hi], own, at_shift - lo) >= coverage * len(own):
+                    matched, i, j = align(text[lo:hi], own, at_shift - lo)
+                if not matched or matched / len(own) < coverage:
+                    failed.add(at_shift)
+                    break
+                out.append((r, t, lo + i, lo + j, matched / len(own)))
+                free[p[np.abs(s - at_shift) <= BAND]] = False  # the same candidate
+                free[lo + i : lo + j + 1] = False
     # of overlapping matches in a text the one of most words, then of most coverage, then the first
     out.sort(key=lambda m: (m[0], -m[4] * len(index.words[m[1]]), -m[4], m[2], m[1]))
     clear: list[tuple] = []
