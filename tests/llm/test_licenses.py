@@ -87,3 +87,10 @@ def test_every_planted_line_and_whole_texts(make):
     for i, name in enumerate(whole):  # from the first word to the last
         r = got[100 + i][0]
         assert r.coverage == 1.0 and r.end - r.start >= len(TEMPLATES[name].strip()) - 10
+
+
+def test_copies_that_follow_at_once(make):
+    rows = [(1, "All rights reserved.\n" * 10), (2, "Released under the MIT License. " * 7), (3, "All rights reserved. " * 2 + "x. Released under the MIT License. All rights reserved.")]
+    got = scan(make(rows)).collect()
+    assert {i: sum(r.doc_id == i for r in got) for i in (1, 2, 3)} == {1: 10, 2: 7, 3: 4}
+    assert {dict(rows)[r.doc_id][r.start : r.end] for r in got} == {"All rights reserved", "Released under the MIT License"}

@@ -193,7 +193,8 @@ def find_licenses(words: Words, index: Index, coverage: float = COVERAGE) -> lis
                     failed.add(at_shift)
                     break
                 out.append((r, t, lo + i, lo + j, matched / len(own)))
-                free[p[np.abs(s - at_shift) <= BAND]] = False  # the same candidate
+                # the text left is searched on: another copy may follow at once
+                text[lo + i : lo + j + 1] = 0
                 free[lo + i : lo + j + 1] = False
     # of overlapping matches in a text the one of most words, then of most coverage, then the first
     out.sort(key=lambda m: (m[0], -m[4] * len(index.words[m[1]]), -m[4], m[2], m[1]))
