@@ -1,0 +1,38 @@
+"""The queries over places, registered over the whole trade graph."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+from wayfare import queries as Q
+
+SF = "/root/testdata/sf0.001"
+SHIPPED = "pv AS (SELECT * FROM v), pe AS (SELECT * FROM e UNION ALL SELECT DISTINCT 6000000000000 + l_orderkey, 4000000000000 + l_suppkey, 7000000000000000 + l_orderkey * 1000000 + l_suppkey, 'SHIPS_FROM', NULL FROM lineitem)"
+
+
+@pytest.fixture(scope="module")
+def db():
+    db = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return db
+
+
+def rows(columns, found):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return Counter(tuple(round(r[i], 7) if isinstance(r[i], float) else r[i] for i in order) for r in found)
+
+
+@pytest.mark.parametrize("name", [n for n in Q.OVER_PLACES if n != "k_centres"])
+def test_whole_graph(spark, db, name):
+    sql = Q.oracle_sql()[name].replace(Q.PLACES, SHIPPED)
+    want = db.execute(sql)
+    columns = [c[0] for c in want.description]
+    got = Q.queries()[f"{name}_whole"](spark, SF).select(*columns)
+    assert rows(columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
+
+
+def test_k_centres_reach_the_whole_graph(spark):
+    got = Q.queries()["k_centres_whole"](spark, SF)
+    assert got.count() == Q.ships_graph(spark, SF).vertices.count()
