@@ -265,3 +265,16 @@ def test_calibration(g0):
     c = calibrate(g0, 1)
     q = parse_path("c:string[US]@out?@c:string[DE]")
     assert choose_start(q, collect_stats(g0, q), c) in (0, 1)
+
+
+def test_a_cap_with_work_left_raises(spark, g0):
+    from wayfare.operators import algorithms as A
+    from wayfare.operators.components import star_components
+
+    with pytest.raises(RuntimeError):
+        A.shortest_paths(g0, 1, max_rounds=2)
+    assert A.shortest_paths(g0, 1, max_rounds=10).count() == 5
+    with pytest.raises(RuntimeError):
+        A.pregel(g0, F.col("id"), F.col("state"), F.min, F.least("state", "message"), max_rounds=1)
+    with pytest.raises(RuntimeError):
+        star_components(g0.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), max_steps=1)

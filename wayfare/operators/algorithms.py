@@ -50,6 +50,9 @@ def shortest_paths(graph: PropertyGraph, source: int, weight: str | None = None,
         found = found.unionByName(front)
         if weight:
             found = written(found.groupBy("id").agg(F.min("distance").alias("distance")), "distances")
+    else:
+        if not front.isEmpty():
+            raise RuntimeError(f"shortest_paths: vertices are left after {max_rounds} rounds")
     return found
 
 
@@ -144,4 +147,7 @@ def pregel(
         states = after.select("id", "state")
         if active.isEmpty():
             break
+    else:
+        if not active.isEmpty():
+            raise RuntimeError(f"pregel: states still change after {max_rounds} rounds")
     return states

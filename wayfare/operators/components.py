@@ -40,5 +40,7 @@ def star_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"star_components: edges still change after {max_steps} steps")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
