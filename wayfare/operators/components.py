@@ -2,7 +2,9 @@
 
 Each step replaces a node's neighbourhood by a star around its least member; the
 number of steps grows with the logarithm of the longest chain, and no step makes more
-rows than there are edges. Edges are written after each step.
+rows than there are edges. Edges are written after each step, and the step before is
+removed. The neighbours of a hub don't meet in one task: its least neighbour is found
+with partial sums and sent to where they are.
 """
 
 from __future__ import annotations
@@ -10,33 +12,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import written
+from ..plans.tables import forget, join_keyed, written
 
+#: Edges up to which the least neighbours, at most two for each edge, are sent whole without being measured.
+FEW_EDGES = 150_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(pairs: DataFrame, least: DataFrame, edges: int, used: list[DataFrame]) -> DataFrame:
+    if edges <= FEW_EDGES:
+        return pairs.join(F.broadcast(least.drop("n")), "a")
+    kept, table = written(pairs, "star-pairs"), written(least, "star-least")
+    used += (kept, table)
+    return join_keyed(kept, table, "a", "n").drop("n")
+
+
+def _large_star(edges: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _with_least(both, least, n, used).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    links = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    links = _with_least(down, least, n, used).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return links.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def star_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
-    """(a, b) edges between comparable ids to (node, root): the least node of each component.
+    """(a, b) edges between comparable ids of fixed width to (node, root): the least node of each component.
 
     Nodes without an edge to another node don't appear.
     """
     edges = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
-    seen = None
+    seen = mark(edges)
     for _ in range(max_steps):
-        edges = written(_small_star(_large_star(edges)), "edges")
+        used = [edges]
+        edges = written(_small_star(_large_star(edges, seen[0], used), seen[0], used), "edges")
         now = mark(edges)
+        forget(*used)
         if now == seen:
             break
         seen = now

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import sum_before
 from .components import star_components
 from .graph import PropertyGraph
 
@@ -36,7 +37,10 @@ def vertex_subgraphs(graph: PropertyGraph, partitions: int, whole: bool = False)
     # the root may be a proxy of a lesser id, so groups are named by their least local vertex
     rooted = joined.select("id", "partition_id", F.coalesce("root", "id").alias("root"), F.col("root").isNull().alias("alone"))
     groups = rooted.groupBy("partition_id", "root", "alone").agg(F.min("id").alias("least"))
-    numbered = groups.withColumn("number", F.row_number().over(Window.partitionBy("partition_id").orderBy("least")) - 1)
+    # numbered over all partitions by ranges, and from 0 in each: a partition may hold any share of the groups
+    before = sum_before(groups.withColumn("one", F.lit(1).cast("bigint")), "one", "partition_id", "least", out="before")
+    firsts = before.groupBy("partition_id").agg(F.min("before").alias("first"))
+    numbered = before.join(F.broadcast(firsts), "partition_id").select("partition_id", "root", "alone", (F.col("before") - F.col("first")).alias("number"))  # a row for each partition
     out = rooted.join(numbered, ["partition_id", "root", "alone"])
     return out.select("id", "partition_id", subgraph_id(F.col("number"), F.col("partition_id")).alias("subgraph_id"))
 

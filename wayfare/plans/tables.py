@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Folders made by this process, which ``clean_up`` and the end of the process remove.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names a folder that the driver and all executors
-    see. Only where it is unset (tests, one machine) is a local one chosen.
+    ``spark.checkpoint.dir`` names a folder that the driver and all executors see. Only
+    where it is unset and all runs on one machine (tests) is a local one chosen; on a
+    cluster each executor would write to a disk of its own, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="wayfare-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, compact: bool = True) -> DataFrame:
@@ -33,12 +44,96 @@ def written(df: DataFrame, name: str, compact: bool = True) -> DataFrame:
     if compact:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the folders of tables from ``written`` that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path in _MADE:
+            _remove(t.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove every folder that this process made. Results that haven't been read or saved yet are gone too."""
+    for path in list(_MADE):
+        _remove(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _MADE else None
+    if spark is not None:
+        clean_up(spark)
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        return F.greatest(F.size(value), F.lit(0)).cast("bigint") * 8 + 16
+    if isinstance(kind, T.StructType):
+        parts = [_width(value[f.name], f.dataType) for f in kind.fields]
+        return sum(parts[1:], parts[0]) if parts else F.lit(0).cast("bigint")
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)).cast("bigint")
+    return F.lit(16).cast("bigint")
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unmarked.
+#: Most bytes of a table that is sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
-    ``df`` should be a written table, as it is counted here.
+
+def small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else itself.
+
+    ``df`` should be a written table, as it is measured here.
+    """
+    row = df.limit(max_rows + 1).select(_width(F.struct(*(F.col(f"`{c}`") for c in df.columns)), df.schema).alias("w")).agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+    return F.broadcast(df) if row.n <= max_rows and (row.w or 0) <= max_bytes else df
+
+
+#: A key is hot if it holds more than one row in so many; thus no more keys than this are.
+HOT_KEYS = 10_000
+
+
+def join_keyed(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner", max_rows: int = 300_000) -> DataFrame:
+    """``rows`` joined with a written ``table`` of one row a key, whose column ``count`` says how many rows have the key.
+
+    A small table is sent whole. Of a large one the hot keys are, a bounded number, so
+    that their rows stay where they are and no task gets all rows of a key; the other
+    keys are shuffled. ``how`` is inner or left. ``rows`` is read twice, so it should be
+    written or kept. Keys are not null.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    side = small(table, max_rows)
+    if side is not table:
+        return rows.join(side, key, how)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    limit = max(1000, total // HOT_KEYS)
+    hot, cold = table.where(F.col(count) > limit), table.where(F.col(count) <= limit)
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+
+
+def fresh(frame: DataFrame | list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that the frame doesn't have in any case."""
+    taken = {c.lower() for c in (frame if isinstance(frame, list) else frame.columns)}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
