@@ -54,6 +54,22 @@ def test_added_spans():
     assert iban_valid("GB82WEST12345698765432")
 
 
+def test_long_texts_in_linear_time():
+    """A million characters of what the parsers look for, and numbers with thousands of digits."""
+    import time
+
+    find = Finder()
+    zeros = "0" * 5000 + ".1.2.3"
+    assert find(zeros) == [("ip", 0, len(zeros))] and find("9" * 5000 + ".1.2.3") == []
+    assert find("0.00.000.0255") == [("ip", 0, 13)] and brute("0.00.000.0255") == [("ip", 0, 13)]
+    for unit in ("token=", "password: ", "sk-", "xoxa-", "a@", "+1(", "1 ", "1.1.1.", "://a:b", "[at]a", "AKIA", " Street", "account 1", "0"):
+        began = time.time()
+        find(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 30, unit
+    got = find("token=" * 20 + "x")
+    assert got == [("secret", 6, 121)]
+
+
 def test_query_on_awkward_rows(spark, awkward, empty, tmp_path):
     docs = awkward.withColumn("spans", F.lit("clash"))
     docs = docs.unionByName(spark.createDataFrame([(20, "mail a.b@c.org and +1 (988) 555-2485 é 4111 1111 1111 1111", "en", "s", 1, "x")], docs.schema))
@@ -64,7 +80,7 @@ def test_query_on_awkward_rows(spark, awkward, empty, tmp_path):
     want = brute("mail a.b@c.org and +1 (988) 555-2485 é 4111 1111 1111 1111")
     joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 0, 1, 1)
-    assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans == joined
+    assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans == joined and r.n_spans == 3
     none = next(r for r in rows if r.doc_id == 1)
     assert none.spans == "" and none.base_sha256 == hashlib.sha256(b"").hexdigest()
     assert find_pii(empty).count() == 0

@@ -12,8 +12,11 @@ code cue, modulo 97), ``account`` (a number after an account cue), ``national_id
 (after its cue), ``street`` (house number and street word), ``secret`` (key prefixes and
 values after password cues). Spans are [start, end) in code points; kinds may overlap.
 
-Defined results: a null or empty text has no spans; rows stay one to one with the
-input, repeated ids and texts included; an empty table gives an empty result.
+Defined results: a null or empty text has no spans; a text of any length is searched
+whole, each parser in time that grows with its length; numbers in it may have any number
+of digits; rows stay one to one with the input, repeated ids and texts included; other
+columns of any name are ignored (``redact`` keeps them as they are); an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -100,7 +103,7 @@ class Finder:
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         spans: list[tuple[str, int, int]] = []
-        after = dict.fromkeys(("email", "ip", "card", "phone", "iban", "street", "masked_email", "login_url"), 0)  # where each kind's search goes on
+        after = dict.fromkeys(("email", "ip", "card", "phone", "iban", "street", "masked_email", "login_url", "secret", "key"), 0)  # where each kind's search goes on
         for last, (anchor, length) in self.automaton.iter(text):
             getattr(self, anchor)(text, last + 1 - length, last + 1, spans, after)
         spans.sort(key=lambda s: (s[1], _RANK[s[0]], s[2]))
@@ -122,7 +125,7 @@ class Finder:
             m = _IP.match(text, at)
             if m:
                 after["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.group().split(".")):
                     spans.append(("ip", at, m.end()))
             else:
                 after["ip"] = _DIGITS.match(text, at).end()
@@ -180,14 +183,17 @@ class Finder:
             spans.append(("national_id", m.start(1), m.end(1)))
 
     def secret(self, text, at, end, spans, after):
-        m = _SECRET_VALUE.match(text, end)
+        # a cue inside a value is part of it, so no character is looked at twice
+        m = _SECRET_VALUE.match(text, end) if at >= after["secret"] else None
         if m:
             spans.append(("secret", m.start(1), m.end(1)))
+            after["secret"] = m.end()
 
     def key(self, text, at, end, spans, after):
-        m = _KEY[text[at:end]].match(text, end)
-        if m and not (at and text[at - 1].isalnum()):
+        m = _KEY[text[at:end]].match(text, end) if at >= after["key"] and not (at and text[at - 1].isalnum()) else None
+        if m:
             spans.append(("secret", at, m.end()))
+            after["key"] = m.end()
 
     def street(self, text, at, end, spans, after):
         # a house number and one to three capitalised words within the 60 characters before
@@ -256,4 +262,4 @@ def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
