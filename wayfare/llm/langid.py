@@ -5,18 +5,26 @@ spectrum), after lower-casing and with everything but letters as single spaces.
 kernel of two texts is the cosine of their presence vectors, |A & B| / sqrt(|A| |B|).
 
 Training, on a bounded sample of labelled rows (``PER_LANGUAGE`` of each language and
-``SAMPLE`` in all, those whose ids hash lowest; the ``MAX_LANGUAGES`` most frequent): ``LANDMARKS`` of the sample give the Nyström map, kernel ridge
+``SAMPLE`` in all, those whose ids hash lowest; where there are more languages than that,
+one row of each): ``LANDMARKS`` of the sample give the Nyström map, kernel ridge
 regression on the mapped sample gives one weight vector for each language against the
-rest. As the kernel is a dot product of presence vectors, landmarks, map and weights
-multiply out to one matrix of n-grams by languages; scoring is the product of a batch's
-presence matrix with it.
+rest, whatever the number of languages. As the kernel is a dot product of presence
+vectors, landmarks and map multiply out to one matrix of n-grams by directions, and the
+weights to one of directions by languages; scoring is the product of a batch's presence
+matrix with the two (with their product, where there are fewer languages than directions).
 
 N-grams are told apart by a hash to ``BINS`` bins; the sample and the texts to score use
 the same bins.
 
-Defined results: null texts, and texts without a letter, are ``und`` with score 0; rows
-without a language don't train; if no language can be learned all is ``und``; repeated
-rows get the same prediction each; extra columns are ignored.
+A text's score is the share of the best language among exp(4 * f) of all languages'
+values f. ``identified`` takes a text whose score is below ``LEAST_SCORE`` for one that no
+learned language fits.
+
+Defined results: null texts, and texts without a letter, are ``und`` with score 0; texts
+of any length are scored whole; rows without a language don't train; if no language can
+be learned all is ``und``; of languages with the same value the first by name is
+predicted; repeated rows get the same prediction each; other columns of any name are
+ignored, or kept where a function says so; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import fresh
 from ._common import least_hashed, slices, texts, utf8, written
 
 BINS = 1 << 15
 LENGTHS = (1, 2, 3, 4)
 #: Bounds of the training sample and the kernel matrix, whatever the input's size.
-PER_LANGUAGE, SAMPLE, LANDMARKS, MAX_LANGUAGES = 400, 4000, 256, 250
+PER_LANGUAGE, SAMPLE, LANDMARKS = 400, 4000, 256
 RIDGE = 1e-3
 
 #: ASCII letters, and all bytes of other characters.
@@ -78,20 +87,26 @@ def _rows(bits: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Language names and the folded matrix (bins by languages) from packed presence rows."""
+def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], list[np.ndarray]]:
+    """Language names and the matrices (bins by directions by languages) from packed presence rows."""
     names = sorted(set(langs))
-    y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
-    order = np.argsort(np.array(langs), kind="stable")
-    by_turn = np.argsort(np.concatenate([np.arange(c) for c in np.unique(np.array(langs), return_counts=True)[1]]), kind="stable")
+    place = {name: i for i, name in enumerate(names)}
+    code = np.array([place[lang] for lang in langs])
+    order = np.argsort(code, kind="stable")
+    by_turn = np.argsort(np.concatenate([np.arange(c) for c in np.bincount(code)]), kind="stable")
     marks = _rows(bits[order[by_turn][:landmarks]])  # as many of each language as there are
     kernel = (marks @ marks.T).astype(np.float64)
     value, vector = np.linalg.eigh(kernel)
     good = value > value[-1] * 1e-6
     half = vector[:, good] / np.sqrt(value[good])  # kernel ** -1/2 on its range
     z = np.concatenate([(_rows(bits[a : a + 256]) @ marks.T).astype(np.float64) @ half for a in range(0, len(bits), 256)])
-    weights = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ y)
-    return names, marks.T @ (half @ weights).astype(np.float32)
+    # each language's rows are 1 and all others -1: their sum is twice the language's own less the whole
+    own = np.zeros((len(names), z.shape[1]))
+    np.add.at(own, code, z)
+    weights = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), (2 * own - z.sum(axis=0)).T)
+    if len(names) <= z.shape[1]:
+        return names, [marks.T @ (half @ weights).astype(np.float32)]
+    return names, [marks.T @ half.astype(np.float32), weights.astype(np.float32)]
 
 
 def held_out() -> Column:
@@ -99,16 +114,16 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
     """Fit on at most PER_LANGUAGE rows of each language, and SAMPLE in all, that are not held out."""
-    labelled = texts(docs).where(~held_out() & F.col("lang").isNotNull())
-    largest = labelled.groupBy(F.col("lang").alias("_known")).count().orderBy(F.desc("count"), "_known").limit(MAX_LANGUAGES)
-    rows = labelled.join(F.broadcast(written(largest, "languages")), F.col("lang") == F.col("_known"), "left_semi").where(F.col("text").rlike(r"\p{L}"))
-    chosen = least_hashed(rows.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE)
+    labelled = texts(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")).where(~held_out() & F.col("lang").isNotNull())
+    rows = labelled.where(F.col("text").rlike(r"\p{L}"))
+    chosen = written(least_hashed(rows.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE), "lang-hashed")
     # the first of every language, then the second of every language, and so on
-    chosen = chosen.orderBy("n", "lang").limit(SAMPLE).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    languages = chosen.where("n = 1").count()
+    chosen = chosen.orderBy("n", "lang").limit(max(SAMPLE, languages)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     chosen = written(chosen, "lang-sample")
-    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
+    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")  # SAMPLE rows, or one a language
 
     def pack(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
@@ -122,18 +137,26 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     kept = {(r.lang, r.doc_id): r for r in reversed(got)}  # repeated ids may bring more rows than the bound
     got = [kept[k] for k in sorted(kept)]
     if not got:
-        return [], np.zeros((BINS, 0), np.float32)
+        return [], [np.zeros((BINS, 0), np.float32)]
     return fit(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), [r.lang for r in got])
 
 
-def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, *keep: str) -> DataFrame:
-    """``keep`` columns, lang_pred and score of every whole text. Only the text is looked at."""
+#: A text fits its best language if the score is at least this: as much as that of all other languages together.
+LEAST_SCORE = 0.5
+
+
+def predict(docs: DataFrame, model: tuple[list[str], list[np.ndarray]], *keep: str, names: tuple[str, str, str] = ("lang_pred", "score", "fits")) -> DataFrame:
+    """``keep`` columns, and under ``names`` the language, the score and whether the language fits, of every whole text.
+
+    Only the text is looked at. Kept columns must not have one of the names.
+    """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(matrix)  # BINS x languages floats
-    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
-    own = "text" if "text" in keep else "_text"  # the text itself is kept, or only read
+    langs, matrices = model
+    sent = spark.sparkContext.broadcast(matrices)  # BINS x 256 floats at most, and 256 floats for each language
+    (text,) = fresh([*keep, *names], "_text")
+    own = "text" if "text" in keep else text  # the text itself is kept, or only read
     narrow = texts(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if own in keep else [F.col("text").cast("string").alias(own)]))
-    schema = narrow.select(*(F.col(f"`{c}`") for c in keep)).schema.add("lang_pred", "string").add("score", "double")
+    schema = narrow.select(*(F.col(f"`{c}`") for c in keep)).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
     drops = own not in keep
 
     def run(batches):
@@ -142,30 +165,38 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, *keep: str) -
             for part in slices(batch, own, 200_000):
                 array = part.column(at)
                 known = np.asarray(pc.fill_null(pc.match_substring_regex(array, r"\p{L}"), False))
-                pred, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
-                for a in range(0, part.num_rows if names else 0, 128):
+                pred, score, fits = np.full(part.num_rows, "und", object), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
+                for a in range(0, part.num_rows if langs else 0, 128):
                     x = presence(array[a : a + 128])
-                    f = x.astype(np.float32) @ model.value / np.sqrt(np.maximum(x.sum(axis=1, dtype=np.int64), 1))[:, None]
+                    f = x.astype(np.float32)
+                    for m in sent.value:
+                        f = f @ m
+                    f = f / np.sqrt(np.maximum(x.sum(axis=1, dtype=np.int64), 1))[:, None]
                     best = f.argmax(axis=1)
                     some = np.flatnonzero(known[a : a + 128])
-                    pred[a + some] = np.array(names, object)[best[some]]
-                    e = np.exp(4 * (f - f.max(axis=1, keepdims=True)))
-                    score[a + some] = (1 / e.sum(axis=1))[some]
+                    pred[a + some] = np.array(langs, object)[best[some]]
+                    top = f.max(axis=1)
+                    share = 1 / np.exp(4 * (f - top[:, None])).sum(axis=1)
+                    score[a + some] = share[some]
+                    fits[a + some] = (share >= LEAST_SCORE)[some]
                 columns = [c for i, c in enumerate(part.columns) if not (drops and i == at)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score), pa.array(fits)], names=schema.names)
 
     return narrow.mapInArrow(run, schema)
 
 
 def op9_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names, matrix = train(docs)
-    out = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), names, matrix, "doc_id", "held_out")
+    out = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), train(docs), "doc_id", "held_out")
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the texts in which no language is found (``und``)."""
-    names, matrix = train(docs)
-    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return predict(docs, names, matrix, *own).where("lang_pred <> 'und'").drop("lang_pred", "score")
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with the predicted language as ``lang``, without the texts that no learned language fits.
+
+    A given ``lang`` trains the model, and is replaced: what follows sees the prediction
+    alone. Where no language can be learned all texts go.
+    """
+    pred, score, fits = fresh(docs, "_pred", "_score", "_fits")
+    told = predict(docs, train(docs), *docs.columns, names=(pred, score, fits)).where(F.col(fits))
+    return told.select(*(F.col(pred).alias(c) if c.lower() == "lang" else F.col(f"`{c}`") for c in docs.columns))
