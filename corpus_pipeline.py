@@ -15,8 +15,8 @@ from wayfare.plans.tables import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found go."""
-    return langid.keep_known(docs)
+    """Each document gets the language that is predicted; those that no language fits go."""
+    return langid.identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
