@@ -106,6 +106,8 @@ def small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> Dat
 
 #: A key is hot if it holds more than one row in so many; thus no more keys than this are.
 HOT_KEYS = 10_000
+#: Rows that any key may have without being hot.
+HOT_LEAST = 1000
 
 
 def join_keyed(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner", max_rows: int = 300_000) -> DataFrame:
@@ -120,7 +122,7 @@ def join_keyed(rows: DataFrame, table: DataFrame, key: str, count: str, how: str
     if side is not table:
         return rows.join(side, key, how)
     total = table.agg(F.sum(count)).first()[0] or 0
-    limit = max(1000, total // HOT_KEYS)
+    limit = max(HOT_LEAST, total // HOT_KEYS)
     hot, cold = table.where(F.col(count) > limit), table.where(F.col(count) <= limit)
     if hot.isEmpty():
         return rows.join(table, key, how)
