@@ -100,8 +100,10 @@ def small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> Dat
 
     ``df`` should be a written table, as it is measured here.
     """
-    row = df.limit(max_rows + 1).select(_width(F.struct(*(F.col(f"`{c}`") for c in df.columns)), df.schema).alias("w")).agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
-    return F.broadcast(df) if row.n <= max_rows and (row.w or 0) <= max_bytes else df
+    if df.count() > max_rows:  # from the files' footers
+        return df
+    width = _width(F.struct(*(F.col(f"`{c}`") for c in df.columns)), df.schema)
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes else df
 
 
 #: A key is hot if it holds more than one row in so many; thus no more keys than this are.
