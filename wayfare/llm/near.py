@@ -228,7 +228,7 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     units = units.select("key", F.explode(others).alias("u"), "own", "node", "least", "weight", "bands", "grams")
     units = units.select("key", "u.a", "u.b", "own", "node", "least", "weight", "bands", "grams")
     units = units.repartition(F.col("key"), F.col("a"), F.col("b")).sortWithinPartitions("key", "a", "b")
-    found = written(units.mapInArrow(_verify(threshold), "node binary, least bigint, root_node binary, root_least bigint, links bigint"), "near-found")
+    found = written(units.mapInArrow(_verify(threshold), "node binary, least bigint, root_node binary, root_least bigint, links bigint"), "near-found", compact=False)
 
     end = lambda least, node: F.struct(F.col(least).isNull().alias("none"), F.col(least).alias("least"), F.col(node).alias("node"))
     ends = star_components(found.select(end("least", "node").alias("a"), end("root_least", "root_node").alias("b")))
