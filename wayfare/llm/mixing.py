@@ -3,37 +3,45 @@
 Documents fall into cells of source, language and topic. Cell weights start at 1 and are
 raked: scaled so that the weighted tokens of each source meet its target, then of each
 language, then of each topic, again and again until all three hold. A document is
-sampled with the probability min(1, c * weight); c makes the expected tokens the
-``budget`` share of all. Documents of cells that would need more than every document
-once carry the rest as ``weight`` = c * raked weight / probability above 1.
+expected c * weight times in the mixture; c makes the expected tokens the ``budget``
+share of all. Below 1 that is the probability of its being sampled; from 1 on it is
+taken that many times, the fraction again by chance. So the shares of tokens meet the
+targets even where small sources have to be repeated. ``prob`` is min(1, c * weight),
+``weight`` is c * raked weight / probability, above 1 where documents are repeated.
 
 Targets are shares of tokens by value. Those not given are tempered: the value's own
 share to the power ``temperature``, scaled to add up to 1, which lifts small sources
 without silencing large ones. Targets of values that don't occur are left out, and
-values without a target get none of the tokens.
+values without a target get none of the tokens. Targets that no weights can meet
+together are an error where they were given. Where all are tempered, ``warnings`` tells,
+and the weights of the last sweep stand: topics meet their targets then.
 
 Only cells are ever held together: a table in Spark, or on the driver where there are
 no more than ``LOCAL_CELLS``; both rake alike.
 
 Defined results: nulls of source, language or topic are values of their own; a null or
-empty text has no tokens, is kept with its cell's probability and changes no share;
-repeated rows are kept or dropped together; a column ``topic`` of the table is used
-where there is one; other columns are kept; an empty table gives an empty result.
+empty text has no tokens, is drawn by its cell's probability and changes no share; texts
+of any length count whole; repeated rows are drawn alike, as the draw depends on the id;
+a column ``topic`` of the table is used where there is one; other columns of any name are
+kept by ``mix``; cells of equal weight are ordered by their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prefix import sum_before
-from ._common import on_disk, small, text_or_empty, texts, written
+from ..plans.tables import forget, join_keyed
+from ._common import on_disk, text_or_empty, texts, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Pattern and topic, the first that matches; without any, short texts are notes and others prose.
 TOPICS = ((r"\| [^ |]+ \|", "table"), (r"[#*$%&]{3}", "markup"), (r"(?i)licen[cs]e|copyright|rights reserved", "legal"), (r"[a-z0-9]@[a-z0-9]|\+[0-9]", "contact"))
-TEMPERATURE, BUDGET, SWEEPS, TOLERANCE, LOCAL_CELLS, SEED = 0.7, 0.7, 100, 1e-12, 200_000, 23
+TEMPERATURE, BUDGET, SWEEPS, TOLERANCE, LOCAL_CELLS, SEED = 0.7, 0.7, 200, 1e-11, 200_000, 23
 
 
 def topic(text: Column) -> Column:
@@ -58,6 +66,16 @@ def _targets(totals: dict, given: dict | None, temperature: float) -> dict:
     return {v: w / whole if whole else 0.0 for v, w in want.items()}
 
 
+def _settled(off: float, targets: dict | None) -> None:
+    """Tell if the last sweep still scaled something by 1 +- ``off``."""
+    if off < TOLERANCE * 1e3:
+        return
+    what = f"raking: after {SWEEPS} sweeps the shares still miss their targets by a factor of 1 +- {off:.3g}"
+    if targets:
+        raise ValueError(f"{what}; the targets can't hold together")
+    warnings.warn(what, stacklevel=2)
+
+
 def _local_weights(cells: list, targets: dict | None, temperature: float) -> np.ndarray:
     """Raked weight of each cell (source, lang, topic, tokens)."""
     tokens = np.array([c[3] for c in cells], float)
@@ -70,6 +88,7 @@ def _local_weights(cells: list, targets: dict | None, temperature: float) -> np.
         totals = np.bincount(code, tokens, minlength=len(values))
         want = _targets(dict(zip(values, totals)), (targets or {}).get(name), temperature)
         sides.append((code, np.array([want[v] for v in values]) * tokens.sum()))
+    off = 0.0
     for _ in range(SWEEPS):
         off = 0.0
         for code, want in sides:
@@ -79,6 +98,7 @@ def _local_weights(cells: list, targets: dict | None, temperature: float) -> np.
             weight *= factor[code]
         if off < TOLERANCE:
             break
+    _settled(off, targets)
     return weight
 
 
@@ -98,81 +118,59 @@ def _raked_table(cells: DataFrame, targets: dict | None, temperature: float) ->
         total = raw.agg(F.sum("w")).first()[0] or 0.0
         wants[name] = raw.select(F.col("value").alias("_v"), (F.col("w") * (whole / total if total else 0.0)).alias("want"))
     now = cells.withColumn("weight", F.lit(1.0))
+    worst = None
     for _ in range(SWEEPS):
         off = []
         for name in DIMENSIONS:
             have = now.groupBy(F.col(name).alias("_g")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
             factor = have.join(wants[name], F.col("_g").eqNullSafe(F.col("_v"))).select("_g", F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(1.0).alias("factor"), ((F.col("have") > 0) & (F.col("want") > 0)).alias("real"))
             now = now.join(factor, F.col(name).eqNullSafe(F.col("_g")))
-            now = now.select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"), *off, F.when(F.col("real"), F.abs(F.col("factor") - 1)).otherwise(0.0).alias(f"off_{name}"))
+            now = now.select(*DIMENSIONS, "tokens", "n", (F.col("weight") * F.col("factor")).alias("weight"), *off, F.when(F.col("real"), F.abs(F.col("factor") - 1)).otherwise(0.0).alias(f"off_{name}"))
             off.append(f"off_{name}")
-        now = written(now, "mix-sweep")
+        before, now = now, written(now, "mix-sweep")
+        forget(before)
         worst = now.agg(F.max(F.greatest(*off))).first()[0]
-        now = now.drop(*off)
         if worst is None or worst < TOLERANCE:
             break
-    return now
-
-
-def _scale(tokens: np.ndarray, weight: np.ndarray, budget: float) -> float:
-    """The c at which the sum of tokens * min(1, c * weight) is the budget's share of all tokens.
-
-    With cells by falling weight, c is linear as long as the same first cells are at 1.
-    Where not even all cells with a weight reach the budget, c puts them all at 1.
-    """
-    order = np.argsort(-weight, kind="stable")
-    t, w = tokens[order], weight[order]
-    free = np.cumsum((t * w)[::-1])[::-1]  # of the cells from here on
-    need = budget * tokens.sum() - (np.cumsum(t) - t)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        c = need / free
-    good = np.flatnonzero((free > 0) & (c * w <= 1 + 1e-12))
-    some = w[(w > 0) & (t > 0)]
-    return float(c[good[0]]) if len(good) else float(1 / some.min()) if len(some) else 1.0
-
-
-def _table_scale(raked: DataFrame, budget: float) -> float:
-    """As ``_scale``, with running sums by ranges."""
-    whole = raked.agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("weight")).alias("tw"), F.min(F.when((F.col("weight") > 0) & (F.col("tokens") > 0), F.col("weight"))).alias("least")).first()
-    cells = raked.withColumns({"fall": -F.col("weight"), "tw": F.col("tokens") * F.col("weight")})
-    cells = sum_before(sum_before(cells, "tokens", "fall", *DIMENSIONS, out="t_before"), "tw", "fall", *DIMENSIONS, out="tw_before")
-    c = (budget * float(whole.t or 0) - F.col("t_before")) / (float(whole.tw or 0.0) - F.col("tw_before"))
-    good = cells.withColumn("c", c).where((float(whole.tw or 0.0) - F.col("tw_before") > 0) & (F.col("c") * F.col("weight") <= 1 + 1e-12))
-    first = good.agg(F.min_by("c", F.struct("fall", *DIMENSIONS))).first()[0]
-    return first if first is not None else 1 / whole.least if whole.least else 1.0
+    _settled(worst or 0.0, targets)
+    return now.drop(*off)
 
 
 def probabilities(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """(source, lang, topic, ratio, prob, weight) of each cell of ``docs`` (as from ``with_cells``)."""
+    """(source, lang, topic, n, ratio, prob, weight) of each cell of ``docs`` (as from ``with_cells``); n documents."""
     spark = docs.sparkSession
-    cells = docs.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens"))
+    cells = docs.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n"))
     cells = written(cells, "mix-cells")
     if cells.limit(local_cells + 1).count() <= local_cells:
         rows = sorted((tuple(r) for r in cells.collect()), key=lambda r: tuple((v is None, v or "") for v in r[:3]))
         weight = _local_weights(rows, targets, temperature)
-        tokens = np.array([r[3] for r in rows], float)
-        c = _scale(tokens, weight, budget)
-        raked = spark.createDataFrame([(*r, float(w)) for r, w in zip(rows, weight)], "source string, lang string, topic string, tokens bigint, weight double")
+        raked = spark.createDataFrame([(*r, float(w)) for r, w in zip(rows, weight)], "source string, lang string, topic string, tokens bigint, n bigint, weight double")
     else:
-        raked = _raked_table(cells, targets, temperature)
-        c = _table_scale(raked, budget)
-    prob = F.least(F.lit(1.0), c * F.col("weight"))
-    return written(raked.select(*DIMENSIONS, F.col("weight").alias("ratio"), prob.alias("prob"), F.when(prob > 0, c * F.col("weight") / prob).otherwise(0.0).alias("weight")), "mix-probabilities")
+        raked = written(_raked_table(cells, targets, temperature), "mix-raked")
+    whole = raked.agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("weight")).alias("tw")).first()
+    expected = (budget * whole.t / whole.tw if whole.tw else budget) * F.col("weight")
+    prob = F.least(F.lit(1.0), expected)
+    return written(raked.select(*DIMENSIONS, "n", F.col("weight").alias("ratio"), prob.alias("prob"), F.when(prob > 0, expected / prob).otherwise(0.0).alias("weight")), "mix-probabilities")
 
 
 def _drawn(docs: DataFrame, cells: DataFrame, seed: int) -> DataFrame:
-    """``docs`` (with cells) with ratio, prob, weight, and whether the document is drawn."""
-    side = small(cells.select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), F.col("ratio").alias("_ratio"), F.col("prob").alias("_prob"), F.col("weight").alias("_weight")), LOCAL_CELLS)
-    same = [F.col(f"_{d}").eqNullSafe(F.col(f"_c_{d}")) for d in DIMENSIONS]
+    """``docs`` (with cells) with _ratio, _prob, _weight, and _copies, how often the document is taken."""
+    cell = lambda names: F.struct(*(F.col(c).alias(d) for c, d in zip(names, DIMENSIONS)))
+    side = written(cells.select(cell(DIMENSIONS).alias("_cell"), "n", F.col("ratio").alias("_ratio"), F.col("prob").alias("_prob"), F.col("weight").alias("_weight")), "mix-side")
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return docs.join(side, same[0] & same[1] & same[2], "left").withColumn("_kept", F.coalesce(u < F.col("_prob"), F.lit(False)))
+    joined = join_keyed(docs.withColumn("_cell", cell([f"_{d}" for d in DIMENSIONS])), side, "_cell", "n", "left", LOCAL_CELLS)
+    expected = F.col("_prob") * F.col("_weight")
+    copies = F.floor(expected) + (u < expected - F.floor(expected)).cast("bigint")
+    return joined.withColumn("_copies", F.coalesce(copies, F.lit(0)).cast("bigint"))
 
 
 def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """The documents drawn, with their own columns."""
-    celled = with_cells(docs)
-    cells = probabilities(celled, targets, budget, temperature)
-    return _drawn(celled, cells, seed).where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents drawn, with their own columns; a document that is taken several times is as many rows."""
+    own = ["doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else [])]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *own)  # the caller's names meet none of ours
+    celled = with_cells(packed)
+    drawn = _drawn(celled, probabilities(celled, targets, budget, temperature), seed).where("_copies > 0")
+    return drawn.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select("_row.*")
 
 
 def mixture_sql(sweeps: int = 60) -> str:
@@ -190,18 +188,20 @@ def mixture_sql(sweeps: int = 60) -> str:
   k AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
   c AS MATERIALIZED (SELECT source, lang, topic, tokens, {wants}, 1.0::DOUBLE AS weight FROM k, (SELECT {shares})),
   {", ".join(steps)},
-  o AS (SELECT *, sum(tokens) OVER fall - tokens AS t_before, sum(tokens * weight) OVER () - (sum(tokens * weight) OVER fall - tokens * weight) AS free FROM {last} WINDOW fall AS (ORDER BY weight DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
-  x AS (SELECT arg_min(c, -weight) AS c FROM (SELECT weight, ({BUDGET} * (SELECT sum(tokens) FROM k) - t_before) / free AS c FROM o WHERE free > 0) WHERE c * weight <= 1 + 1e-12),
-  p AS (SELECT source, lang, topic, weight AS ratio, least(1.0, c * weight) AS prob, CASE WHEN c * weight > 0 THEN c * weight / least(1.0, c * weight) ELSE 0 END AS weight FROM o, x)
+  x AS (SELECT {BUDGET} * sum(tokens) / sum(tokens * weight) AS c FROM {last}),
+  p AS (SELECT source, lang, topic, weight AS ratio, c * weight AS e, least(1.0, c * weight) AS prob, CASE WHEN c * weight > 0 THEN c * weight / least(1.0, c * weight) ELSE 0 END AS weight FROM {last}, x)
   SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(ratio, 6) AS ratio, round(prob, 6) AS prob, round(weight, 6) AS weight,
-    ('0x' || substr(md5(concat_ws(':', '{SEED}', doc_id::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0 < prob AS kept
+    (floor(e) + (('0x' || substr(md5(concat_ws(':', '{SEED}', doc_id::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0 < e - floor(e))::INTEGER)::BIGINT AS copies, copies > 0 AS kept
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic"""
 
 
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's cell, raked ratio, probability, weight and fate."""
+    """Every document's cell, raked ratio, probability, weight, and how often it is taken."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    celled = on_disk(with_cells(docs).select("doc_id", "_source", "_lang", "_topic", "_tokens"))
+    celled = on_disk(with_cells(docs.select("doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else []))).select("doc_id", "_source", "_lang", "_topic", "_tokens"))
     drawn = _drawn(celled, probabilities(celled), SEED)
     r = lambda c: F.round(F.col(c), 6).alias(c[1:])
-    return drawn.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), r("_ratio"), r("_prob"), r("_weight"), F.col("_kept").alias("kept"))
+    return drawn.select(
+        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), r("_ratio"), r("_prob"), r("_weight"),
+        F.col("_copies").alias("copies"), (F.col("_copies") > 0).alias("kept"),
+    )
