@@ -23,9 +23,10 @@ Coding is greedy, as the format's authors describe it: each word takes the selec
 that packs most of the next values. Both directions work on all blocks of a file at
 once with numpy; only the steps within a block follow each other.
 
-Defined results: a null or empty text is the end id alone; documents are in ascending
-order of id, null ids first, repeated ids in the order of their texts' hashes; extra
-columns are ignored; an empty table writes no file.
+Defined results: a null or empty text is the end id alone; texts of any length are
+encoded whole; documents are in ascending order of id, null ids first, repeated ids in
+the order of their texts' hashes; other columns of any name are ignored; an empty table
+writes no file.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, mix, shared_dir, slices, texts, utf8
+from ..functions.prefix import sum_before
+from ._common import Words, mix, shared_dir, slices, texts, utf8, written
 
 MAGIC = b"WFS8B\0\0\1"
 BLOCK = 1024
@@ -402,8 +404,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-#: Ids in a file, about; a partition of more documents writes several files.
-FILE_IDS = 4_000_000
+#: Ids in a file, about; a partition of more documents writes several files. While it packs one a task holds it three times.
+FILE_IDS = 16_000_000
+#: Most tasks that read files back; of more files each task reads several.
+READERS = 100_000
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
@@ -429,10 +433,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
             nonlocal total, number
             ends = np.cumsum([len(h) for h in held])[1::2]  # after each document's end id
             path = f"{folder}/part-{part:06d}-{number:04d}.s8b"
-            write_file(path, pack(doc_ids, ends, np.concatenate(held)))
+            ids = np.concatenate(held)
+            held.clear()
+            write_file(path, pack(doc_ids, ends, ids))
             row = pa.RecordBatch.from_pydict({"part": [part], "file": [number], "path": [path], "documents": [len(doc_ids)], "ids": [int(ends[-1])]}, schema=schema)
             doc_ids.clear()
-            held.clear()
             total, number = 0, number + 1
             return row
 
@@ -452,19 +457,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
     return ordered.mapInArrow(write, "part int, file int, path string, documents bigint, ids bigint")
 
 
-def read_tokens(manifest: list, spark: SparkSession) -> DataFrame:
-    """Read the files of a manifest back: doc_id, start, n_tokens, ids_crc32.
+def read_tokens(manifest: DataFrame) -> DataFrame:
+    """Read the files of a manifest (a written table) back: doc_id, start, n_tokens, ids_crc32.
 
-    ``manifest`` has one row for each file, of millions of ids: at 100 TB of text it
-    is tens of MB, and no row of it belongs to one document.
+    The manifest stays a table: where files start is summed up by ranges, and each task
+    reads as many files as any other.
     """
-    files = sorted(manifest, key=lambda r: (r["part"], r["file"]))
-    rows, start = [], 0
-    for r in files:
-        rows.append((r["path"], start))
-        start += r["ids"]
-    frame = spark.createDataFrame(rows, "path string, start bigint")
-    frame = frame.repartition(max(1, len(rows)), F.col("path"))
+    placed = sum_before(manifest, "ids", "part", "file", out="start").select("part", "file", "path", "start")
+    readers = max(1, min(manifest.count(), READERS))
+    frame = placed.repartitionByRange(readers, "part", "file").select("path", "start")
 
     def read(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -484,9 +485,7 @@ def read_tokens(manifest: list, spark: SparkSession) -> DataFrame:
 
 def tokens_roundtrip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write ``docs`` as token files in the shared folder and describe what they hold."""
-    spark = docs.sparkSession
-    manifest = write_tokens(docs, tokenizer, shared_dir(spark, "tokens"), end_id).collect()
-    return read_tokens([r.asDict() for r in manifest], spark)
+    return read_tokens(written(write_tokens(docs, tokenizer, shared_dir(docs.sparkSession, "tokens"), end_id), "token-manifest", compact=False))
 
 
 def op4_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
