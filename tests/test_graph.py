@@ -1,6 +1,7 @@
 """The hand-made graph's known results, and relations that must hold between queries."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,78 @@ def test_pregel_and_centres(g0):
     assert A.k_centres(g0, 2, 5).where("distance = 0").count() == 2
 
 
+def plain_centres(ids, edges, k, rounds, patience=2):
+    """k-centres by plain loops: nearest centre (least on ties), then the member with most neighbours in its cluster."""
+    near = {i: set() for i in ids}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    centres = sorted(ids)[:k]
+    for _ in range(rounds):
+        at = {c: (c, 0) for c in centres}
+        front = set(centres)
+        while front:
+            reached = {}
+            for v in front:
+                for w in near[v]:
+                    if w not in at:
+                        reached[w] = min(reached.get(w, at[v][0]), at[v][0])
+            depth = {at[v][1] for v in front}.pop() + 1
+            at |= {w: (c, depth) for w, c in reached.items()}
+            front = set(reached)
+        count = {v: sum(w in at and at[w][0] == at[v][0] for w in near[v] | ({v} if v in near[v] else set())) for v in at}
+        moved = []
+        for c in centres:
+            members = [v for v in at if at[v][0] == c and count[v]]
+            moved.append(min(members, key=lambda v: (-count[v], v)) if members else c)
+        if sum(a != b for a, b in zip(centres, moved)) < patience:
+            break
+        centres = sorted(set(moved))
+    return at
+
+
+@pytest.mark.parametrize("k,rounds", [(1, 3), (2, 1), (3, 4), (5, 6)])
+def test_k_centres_against_plain_loops(spark, k, rounds):
+    rng = random.Random(k)
+    ids = list(range(40))
+    edges = [(rng.randrange(30), rng.randrange(36)) for _ in range(60)]
+    g = PropertyGraph(spark.createDataFrame([(i,) for i in ids], "id bigint"), spark.createDataFrame([(a, b, n) for n, (a, b) in enumerate(edges)], "src bigint, dst bigint, edge_id bigint"))
+    got = {r.id: (r.centre, r.distance) for r in A.k_centres(g, k, rounds).collect()}
+    assert got == plain_centres(ids, edges, k, rounds)
+
+
+def test_numbers_compare_by_value(spark):
+    from decimal import Decimal
+
+    rows = [(1, 12345678.0, 0.5, 7, Decimal("1.50"), "x"), (2, 0.0001, 2.25, -3, Decimal("2.00"), "7"), (3, None, None, None, None, None)]
+    v = spark.createDataFrame(rows, "id bigint, d double, f float, i int, m decimal(10,2), t string")
+    g = PropertyGraph(v, spark.createDataFrame([(1, 2, 10**13)], "src bigint, dst bigint, edge_id bigint"))
+    found = lambda text: sorted(r.id for r in find_vertices(g, text).collect())
+    assert found("d:double[12345678]") == found("d:float[1.2345678e7]") == found("d:int[12345678]") == [1]
+    assert found("d:double[0.0001]") == [2] and found("f:float[0.5]") == [1] and found("f:double[2.25]") == [2]
+    assert found("i:int[007]") == found("i:double[7.0]") == [1] and found("i:float[7.5]") == [] and found("i:int[99999999999999999999]") == []
+    assert found("m:double[1.5]") == [1] and found("m:float[1.505]") == [] and found("m:int[2]") == [2]
+    assert found("t:int[7]") == [2] and found("d:string[n]") == [3]
+    stats = collect_stats(g, parse_path("d:double[12345678]@out?@i:int[-3]"))
+    assert stats.vertex[("d", "12345678.0")].out == 1 and stats.vertex[("i", "-3")].into == 1
+
+
+def test_wide_edge_ids(spark, tmp_path):
+    """Keys beyond 64-bit ids are an error without wide ids, and whole with them."""
+    from wayfare.sources import readers as R
+    from wayfare.sources.projection import edge_id
+
+    big = spark.createDataFrame([(6 * 10**11, 2 * 10**10)], "a bigint, b bigint")
+    assert str(big.select(edge_id(5, F.col("a"), F.col("b"), True)).first()[0]) == f"5{6 * 10**11:018d}{2 * 10**10:018d}"
+    with pytest.raises(Exception, match="wide"):
+        big.select(edge_id(5, F.col("a"), F.col("b"))).collect()
+    (tmp_path / "a").write_text("10000000000000 1 2\n9000000000000000000 1\nbroken line\n")
+    (tmp_path / "b").write_text("10000000000000 1 2\n9000000000000000000 1\n")
+    g = R.read_adjacency(spark, str(tmp_path / "b"))
+    assert sorted(int(r.edge_id) for r in g.edges.collect()) == [10**25, 10**25 + 1, 9 * 10**30]
+    assert [r.value for r in R.malformed(spark, str(tmp_path / "a"), "adjacency").collect()] == ["broken line"]
+
+
 def test_checks_and_views(g0, spark):
     assert g0.check() == []
     broken = PropertyGraph(g0.vertices.union(g0.vertices.limit(1)), g0.edges.union(g0.edges.limit(1)))

@@ -126,21 +126,52 @@ def pregel(
     merge: Callable[[Column], Column],
     apply: Column,
     max_rounds: int = 20,
+    along: str = "out",
+    subgraphs: DataFrame | None = None,
+    finish: Column | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """(id, state): vertex programs as columns, until no vertex gets a message or changes.
 
     ``initial`` is over the vertices. Each round every active vertex sends ``message``
-    (over ``state`` and the edge's columns; null sends nothing) along its out-edges, the
-    receiver's messages are merged by the aggregate ``merge``, and ``apply`` (over
-    ``state`` and ``message``) gives its new state. Vertices whose state changes are
-    active in the next round.
+    (over ``state`` and the edge's columns; null sends nothing), the receiver's messages
+    are merged by the aggregate ``merge``, and ``apply`` (over ``state`` and ``message``)
+    gives its new state. Vertices whose state changes are active in the next round.
+
+    ``along``: who gets a message. ``out``, ``in`` or ``both``: those at the other end of
+    such an edge; ``all``: every vertex; ``subgraphs``: every vertex of each subgraph that
+    an edge of the sender's subgraph leads to, with ``subgraphs`` as (id, subgraph_id).
+    For the last two messages are over ``state`` alone, and are merged before they are
+    sent, so ``merge`` has to be associative, like min, max and sum.
+
+    ``finish`` (over ``id`` and ``state``) is applied to the settled states. ``strict``:
+    it is an error if states still change after ``max_rounds``; else they are returned.
     """
+    if along not in ("out", "in", "both", "all", "subgraphs"):
+        raise ValueError("along is out, in, both, all or subgraphs")
     states = written(graph.vertices.select("id", initial.alias("state")), "pregel")
+    edges = {"out": graph, "in": graph.reverse(), "both": graph.symmetrize()}.get(along, graph).edges
+    if along == "subgraphs":
+        groups = subgraphs.select("id", "subgraph_id")
+        side = lambda end: groups.select(F.col("id").alias(f"_{end}"), F.col("subgraph_id").alias(f"{end}_group"))
+        links = graph.edges.join(side("src"), F.col("src") == F.col("_src")).join(side("dst"), F.col("dst") == F.col("_dst"))
+        links = written(links.where("src_group <> dst_group").select("src_group", "dst_group").distinct(), "pregel-links")
+
+    def received(active: DataFrame) -> DataFrame:
+        """(to, message) of the round."""
+        if along == "all":
+            one = active.select(message.alias("message")).where("message is not null").agg(merge(F.col("message")).alias("message")).where("message is not null")
+            return states.select(F.col("id").alias("to")).join(F.broadcast(one), F.lit(True))  # one row
+        if along == "subgraphs":
+            own = active.join(groups, "id").select("subgraph_id", message.alias("message")).where("message is not null").groupBy("subgraph_id").agg(merge(F.col("message")).alias("message"))
+            to = own.join(links, F.col("subgraph_id") == F.col("src_group")).groupBy("dst_group").agg(merge(F.col("message")).alias("message"))
+            return groups.join(to, F.col("subgraph_id") == F.col("dst_group")).select(F.col("id").alias("to"), "message")
+        sent = active.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), message.alias("message")).where("message is not null")
+        return sent.groupBy("to").agg(merge(F.col("message")).alias("message"))
+
     active = states
     for _ in range(max_rounds):
-        sent = active.join(graph.edges, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), message.alias("message")).where("message is not null")
-        got = sent.groupBy("to").agg(merge(F.col("message")).alias("message"))
-        after = states.join(got, F.col("id") == F.col("to"), "left")
+        after = states.join(received(active), F.col("id") == F.col("to"), "left")
         after = after.select("id", F.when(F.col("to").isNull(), F.col("state")).otherwise(apply).alias("state"), F.col("state").alias("before"))
         after = written(after, "pregel")
         active = after.where(~F.col("state").eqNullSafe(F.col("before"))).select("id", "state")
@@ -148,6 +179,6 @@ def pregel(
         if active.isEmpty():
             break
     else:
-        if not active.isEmpty():
+        if strict and not active.isEmpty():
             raise RuntimeError(f"pregel: states still change after {max_rounds} rounds")
-    return states
+    return states if finish is None else states.select("id", finish.alias("state"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import hop_text, start_text
 from ..plans.query import BfsQuery, parse_bfs, without_access_flag
-from ..plans.tables import written
+from ..plans.tables import sent, written
 from .graph import PropertyGraph
 from .lookup import find_vertices
 
@@ -41,12 +41,16 @@ def bfs_tree(graph: PropertyGraph, query: BfsQuery | str, max_roots: int | None
     seen = written(front, "bfs-roots")
     front, levels = seen, []
     edges = graph.edges_where(None)
+    n = known = seen.count()
     for depth in range(1, query.depth + 1):
-        reached = front.join(edges, F.col("v") == F.col("src"))
+        reached = edges.join(sent(front, n), F.col("v") == F.col("src"))
         first = reached.groupBy("root", "dst").agg(F.min(F.struct("src", "edge_id")).alias("by"))
-        fresh = first.join(seen.select(F.col("root").alias("_r"), F.col("v").alias("_v")), (F.col("root") == F.col("_r")) & (F.col("dst") == F.col("_v")), "left_anti")
+        old = sent(seen.select(F.col("root").alias("_r"), F.col("v").alias("_v")), known)
+        fresh = first.join(old, (F.col("root") == F.col("_r")) & (F.col("dst") == F.col("_v")), "left_anti")
         level = written(fresh.select("root", F.col("by.src").alias("src"), F.col("by.edge_id").alias("edge_id"), "dst", F.lit(depth).alias("depth")), "bfs-level")
-        if level.isEmpty():
+        n = level.count()
+        known += n
+        if not n:
             break
         levels.append(level)
         front = level.select("root", F.col("dst").alias("v"))
@@ -82,14 +86,24 @@ def bfs_walks(graph: PropertyGraph, query: BfsQuery | str, max_roots: int | None
     return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("walks")))).drop("_i", "walks")
 
 
-def bfs_leaf_paths(graph: PropertyGraph, query: BfsQuery | str, max_roots: int | None = None, pruned: bool = False) -> DataFrame:
+def bfs_leaf_paths(graph: PropertyGraph, query: BfsQuery | str, max_roots: int | None = None, pruned: bool = False, properties: list[str] | None = None) -> DataFrame:
     """(root, path): walks of exactly ``depth`` edges, and shorter ones that end where no edge leaves.
 
-    ``pruned``: only walks along the BFS tree.
+    ``pruned``: only walks along the BFS tree. ``properties``: vertices are shown by these,
+    with commas in between, instead of their ids.
     """
     query = _query(query)
     edges = graph.edges_where(None)
-    front = _roots(graph, query, max_roots).select(F.col("id").alias("root"), F.col("id").alias("v"), start_text(F.col("id")).alias("path"))
+    v = graph.vertices
+    shown = v.select(F.col("id").alias("_id"), F.concat_ws(",", *(F.coalesce(graph.property(v, p), F.lit(graph.missing)) for p in properties)).alias("_shown")) if properties else None
+
+    def named(frame: DataFrame) -> DataFrame:
+        """The frame with ``_name``, what its vertex v is shown as; an unknown vertex by its id."""
+        if shown is None:
+            return frame.withColumn("_name", F.col("v").cast("string"))
+        return frame.join(shown, F.col("v") == F.col("_id"), "left").withColumn("_name", F.coalesce("_shown", F.col("v").cast("string"))).drop("_id", "_shown")
+
+    front = named(_roots(graph, query, max_roots).select(F.col("id").alias("root"), F.col("id").alias("v"))).select("root", "v", start_text(F.col("_name")).alias("path"))
     tree = bfs_tree(graph, query, max_roots) if pruned else None
     leaves = []
     for depth in range(query.depth + 1):
@@ -103,7 +117,7 @@ def bfs_leaf_paths(graph: PropertyGraph, query: BfsQuery | str, max_roots: int |
             front = front.join(hop, (F.col("v") == F.col("src")) & (F.col("root") == F.col("_r")))
         else:
             front = front.join(edges, F.col("v") == F.col("src"))
-        front = front.select("root", F.col("dst").alias("v"), F.concat("path", hop_text(F.col("edge_id"), F.col("dst"))).alias("path"))
+        front = named(front.select("root", F.col("dst").alias("v"), "edge_id", "path")).select("root", "v", F.concat("path", hop_text(F.col("edge_id"), F.col("_name"))).alias("path"))
     return _union(leaves).select("root", "path")
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, DecimalType, DoubleType, FloatType, IntegerType, NumericType, ShortType
 
 from ..plans.query import Predicate
 
@@ -13,12 +15,25 @@ from ..plans.query import Predicate
 MISSING = "n"
 
 
+def _equals_number(column: Column, kind: DataType, number: Decimal) -> Column:
+    """A numeric column against a number, by value and in the column's own type, so that it reaches the Parquet reader."""
+    if isinstance(kind, (FloatType, DoubleType)):
+        return column == F.lit(float(number)).cast(kind)
+    if number != number.to_integral_value() and not isinstance(kind, DecimalType):
+        return F.lit(False)
+    if isinstance(kind, DecimalType):
+        return column == F.lit(number)
+    bits = {ByteType: 7, ShortType: 15, IntegerType: 31}.get(type(kind), 63)
+    return column == F.lit(int(number)).cast(kind) if -(2**bits) <= number < 2**bits else F.lit(False)
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """``vertices``: id, properties. ``edges``: src, dst, edge_id, properties; directed.
 
     A property is a column of its own, or an entry of a map column ``props``. Columns
-    of their own are pruned and pushed down to the files; see ``promote``.
+    of their own are pruned and pushed down to the files; see ``promote``. A numeric
+    column is compared with a literal of a numeric type by value, all else as text.
     """
 
     vertices: DataFrame
@@ -48,6 +63,8 @@ class PropertyGraph:
         if predicate.name == "vid" and "id" in frame.columns and "vid" not in frame.columns:
             digits = predicate.text.strip()
             return F.col("id") == F.lit(int(digits)) if digits.lstrip("-").isdigit() else F.lit(False)
+        if predicate.name in frame.columns and isinstance(frame.schema[predicate.name].dataType, NumericType) and predicate.number is not None:
+            return _equals_number(F.col(f"`{predicate.name}`"), frame.schema[predicate.name].dataType, predicate.number)
         value = self.property(frame, predicate.name)
         # without coalesce where it can't matter: a bare comparison reaches the Parquet reader
         return F.coalesce(value, F.lit(self.missing)) == predicate.text if predicate.text == self.missing else value == predicate.text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.query import Predicate, parse_predicate, split_outside, without_access_flag
@@ -36,3 +36,12 @@ def property_of(graph: PropertyGraph, predicate: Predicate | str | None, *names:
     if "props" in v.columns:
         every = F.map_concat(every, F.coalesce("props", F.expr("cast(map() as map<string,string>)")))
     return v.select("id", every.alias("props"))
+
+
+def find_by_index(spark: SparkSession, path: str, predicate: Predicate | str) -> DataFrame:
+    """Ids of the vertices that pass, from an index that ``write_index`` wrote; no vertex table is read.
+
+    The property names a folder of files that are sorted by value, so few row groups are read.
+    """
+    p = parse_predicate(predicate) if isinstance(predicate, str) else predicate
+    return spark.read.option("inferSchema", "false").parquet(path).where((F.col("property").cast("string") == p.name) & (F.col("value") == p.text)).select("id")

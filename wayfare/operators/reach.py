@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import hop_text, start_text
 from ..plans.query import ReachQuery, parse_reach, without_access_flag
-from ..plans.tables import written
+from ..plans.tables import sent, written
 from .graph import PropertyGraph
 
 _EMPTY = "source bigint, sink bigint, length int, path string"
@@ -35,17 +35,22 @@ def shortest_walks(graph: PropertyGraph, query: ReachQuery | str, side: int | No
 
     level = written(graph.vertices_where(begin).distinct().select(F.col("id").alias("origin"), F.col("id").alias("v")), "reach-level")
     levels, seen, hits = [level], None, None
+    n, known = level.count(), 0
     for _ in range(query.depth):
-        reached = level.join(edges, F.col("v") == F.col("near")).select("origin", F.col("far").alias("v")).distinct()
+        reached = edges.join(sent(level, n), F.col("v") == F.col("near")).select("origin", F.col("far").alias("v")).distinct()
         if seen is not None:
-            reached = reached.join(seen, ["origin", "v"], "left_anti")
-        level = written(reached, "reach-level")
-        if level.isEmpty():
+            reached = reached.join(sent(seen, known), ["origin", "v"], "left_anti")
+        # one table tells who is reached and who of them is a goal
+        marked = reached.join(goal.select(F.col("id").alias("_goal")), F.col("v") == F.col("_goal"), "left").select("origin", "v", F.col("_goal").isNotNull().alias("hit"))
+        marked = written(marked, "reach-level")
+        row = marked.agg(F.count("*").alias("n"), F.max("hit").alias("hit")).first()
+        n, known = row.n, known + row.n
+        if not n:
             break
+        level = marked.select("origin", "v")
         levels.append(level)
-        found = written(level.join(goal, F.col("v") == F.col("id"), "left_semi"), "reach-hits")
-        if not found.isEmpty():
-            hits = found
+        if row.hit:
+            hits = marked.where("hit").select("origin", "v")
             break
         seen = level if seen is None else seen.unionByName(level)
     if hits is None:

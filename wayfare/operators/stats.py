@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import sum_before
+from ..plans.query import Predicate
+from ..plans.tables import sent, written
 from .graph import PropertyGraph
 from .topology import partition_of
 
@@ -26,10 +28,47 @@ def degrees(graph: PropertyGraph, partitions: int = 1) -> DataFrame:
     return out.unionByName(back).unionByName(alone).groupBy("id").agg(*(F.sum(c).alias(c) for c in _SUMS))
 
 
+def literal_statistics(graph: PropertyGraph, vertex: list[Predicate], edge: list[Predicate], partitions: int = 1) -> tuple[tuple[int, int, int], list, list[int]]:
+    """What a query's literals need: (vertices, edges, remote edges), (n, sums of degrees) of each vertex predicate, n of each edge predicate.
+
+    Edges meet only the vertices that a predicate takes, not the degrees of all vertices;
+    all counts come from one job, a row for each predicate.
+    """
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    names = ("n", *_SUMS)
+    zero = F.lit(0).cast("bigint")
+
+    def row(frame: DataFrame, what: str, place: Column, *counts: Column) -> DataFrame:
+        return frame.select(F.lit(what).alias("what"), place.cast("int").alias("place"), *(F.coalesce(c, zero).cast("bigint").alias(n) for c, n in zip([*counts, *[zero] * 5], names)))
+
+    remote = partition_of(F.col("src"), partitions) != partition_of(F.col("dst"), partitions)
+    kept = graph.edges
+    takes = F.array(*(one(graph.condition(kept, p)) for p in edge)) if edge else F.array(zero)
+    marked = kept.select("src", "dst", remote.alias("remote"), takes.alias("takes"))
+    found = row(graph.vertices.agg(F.count("*").alias("n")), "vertices", F.lit(0), F.col("n"))
+    every = marked.agg(F.count("*").alias("n"), F.sum(one(F.col("remote"))).alias("r"), F.array(*(F.sum(F.col("takes")[i]) for i in range(max(1, len(edge))))).alias("t"))
+    found = found.unionByName(row(every, "edges", F.lit(0), F.col("n"), F.col("r")))
+    found = found.unionByName(row(every.select(F.posexplode("t").alias("place", "n")), "edge", F.col("place"), F.col("n")))
+    if vertex:
+        v = graph.vertices
+        hits = F.filter(F.array(*(F.when(graph.condition(v, p), F.lit(i)) for i, p in enumerate(vertex))), lambda x: x.isNotNull())
+        chosen = written(v.select("id", F.explode(hits).alias("place")), "literals")
+        side = sent(chosen, chosen.count())
+        ends = F.explode(F.array(*(F.struct(F.col(a).alias("end"), F.lit(int(a == "src")).cast("bigint").alias("o")) for a in ("src", "dst"))))
+        met = marked.select(ends.alias("e"), one(F.col("remote")).alias("r")).select("e.end", "e.o", "r").join(side, F.col("end") == F.col("id"))
+        sums = met.groupBy("place").agg(F.sum("o").alias("o"), F.sum(1 - F.col("o")).alias("i"), F.sum(F.col("o") * F.col("r")).alias("ro"), F.sum((1 - F.col("o")) * F.col("r")).alias("ri"))
+        found = found.unionByName(row(chosen.groupBy("place").agg(F.count("*").alias("n")), "vertex", F.col("place"), F.col("n")))
+        found = found.unionByName(row(sums, "vertex", F.col("place"), zero, *(F.col(c) for c in ("o", "i", "ro", "ri"))))
+    rows = found.collect()  # a few for each predicate
+    add = lambda what, place, name: sum(getattr(r, name) for r in rows if r.what == what and r.place == place)
+    totals = (add("vertices", 0, "n"), add("edges", 0, "n"), add("edges", 0, "out_degree"))
+    return totals, [tuple(add("vertex", i, n) for n in names) for i in range(len(vertex))], [add("edge", i, "n") for i in range(len(edge))]
+
+
 def vertex_statistics(graph: PropertyGraph, names: list[str], partitions: int = 1, values: dict[str, list[str]] | None = None) -> DataFrame:
     """(property, value, n, probability, avg_out, avg_in, avg_remote_out, avg_remote_in).
 
-    ``values`` narrows to the values a query asks for; then only their vertices are counted.
+    ``values`` narrows to some values; then only their vertices are counted.
     """
     v = graph.vertices
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("property"), F.coalesce(graph.property(v, n), F.lit(graph.missing)).alias("value")) for n in names)))

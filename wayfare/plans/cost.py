@@ -84,43 +84,47 @@ def literals(query: PathQuery | ReachQuery) -> tuple[list[Predicate], list[Predi
     return [p for p in query.vertices if p], [e.predicate for e in query.edges if e.predicate]
 
 
-def _values(predicates: list[Predicate]) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for p in predicates:
-        if p.text not in out.setdefault(p.name, []):
-            out[p.name].append(p.text)
-    return out
-
-
 def collect_stats(graph, query: PathQuery | ReachQuery, partitions: int = 1) -> GraphStats:
     """Exact statistics of the query's literals, counted on the graph."""
     from ..operators import stats as S
 
-    vertex, edge = literals(query)
-    totals = S.graph_totals(graph, partitions).first()
-    found = GraphStats(totals.vertices, totals.edges, totals.remote_edges)
-    if vertex:
-        values = _values(vertex)
-        for r in S.vertex_statistics(graph, list(values), partitions, values).collect():  # one row for each literal
-            found.vertex[r.property, r.value] = Numbers(r.probability, r.avg_out, r.avg_in, r.avg_remote_out, r.avg_remote_in)
-    if edge:
-        values = _values(edge)
-        for r in S.edge_statistics(graph, list(values), values).collect():
-            found.edge[r.property, r.value] = r.probability
+    vertex, edge = (list(dict.fromkeys(ps)) for ps in literals(query))
+    totals, of_vertices, of_edges = S.literal_statistics(graph, vertex, edge, partitions)
+    found = GraphStats(*totals)
+    for p, (n, *degrees) in zip(vertex, of_vertices):
+        if n:
+            found.vertex[p.name, p.text] = Numbers(n / max(totals[0], 1), *(d / n for d in degrees))
+    for p, n in zip(edge, of_edges):
+        if n:
+            found.edge[p.name, p.text] = n / max(totals[1], 1)
     return found
 
 
+def _is(p: Predicate):
+    """Rows of a statistics table that a literal asks for: by text, and numbers by value."""
+    same = F.col("value") == p.text
+    if p.number is not None:
+        same = same | (F.expr("try_cast(value as double)") == float(p.number))
+    return (F.col("property") == p.name) & same
+
+
 def lookup_stats(totals: tuple[int, int, int], vertex_stats: DataFrame, edge_stats: DataFrame | None, query: PathQuery | ReachQuery) -> GraphStats:
     """Statistics of the query's literals from stored tables (see ``vertex_statistics``)."""
-    vertex, edge = literals(query)
+    vertex, edge = (list(dict.fromkeys(ps)) for ps in literals(query))
     found = GraphStats(*totals)
-    want = lambda ps: F.array(*(F.struct(F.lit(p.name).alias("property"), F.lit(p.text).alias("value")) for p in ps))
+
+    def rows(table: DataFrame, ps: list[Predicate]):
+        asked = F.filter(F.array(*(F.when(_is(p), F.lit(i)) for i, p in enumerate(ps))), lambda x: x.isNotNull())
+        return table.withColumn("_asked", F.explode(asked)).collect()  # one row for each literal
+
     if vertex:
-        for r in vertex_stats.where(F.array_contains(want(vertex), F.struct("property", "value"))).collect():
-            found.vertex[r.property, r.value] = Numbers(r.probability, r.avg_out, r.avg_in, r.avg_remote_out, r.avg_remote_in)
+        for r in rows(vertex_stats, vertex):
+            p = vertex[r._asked]
+            found.vertex[p.name, p.text] = Numbers(r.probability, r.avg_out, r.avg_in, r.avg_remote_out, r.avg_remote_in)
     if edge and edge_stats is not None:
-        for r in edge_stats.where(F.array_contains(want(edge), F.struct("property", "value"))).collect():
-            found.edge[r.property, r.value] = r.probability
+        for r in rows(edge_stats, edge):
+            p = edge[r._asked]
+            found.edge[p.name, p.text] = r.probability
     return found
 
 

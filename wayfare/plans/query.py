@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 OUT, IN = "out", "in"
 
@@ -25,7 +26,7 @@ class QueryError(ValueError):
 
 @dataclass(frozen=True)
 class Predicate:
-    """One property equals one literal; compared as text."""
+    """One property equals one literal; compared as text, or by value where both are numbers."""
 
     name: str
     value: str
@@ -40,6 +41,11 @@ class Predicate:
             return str(float(self.value))
         return self.value
 
+    @property
+    def number(self) -> Decimal | None:
+        """The literal's value, where its type is a number."""
+        return Decimal(self.value.strip()) if self.type in ("int", "float", "double") else None
+
 
 @dataclass(frozen=True)
 class EdgeStep:

@@ -106,6 +106,15 @@ def small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes else df
 
 
+#: Rows of a few numbers each that are sent whole.
+FEW_ROWS = 300_000
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """A table of narrow rows (ids, numbers) marked for broadcast if it is known to have few of them."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 #: A key is hot if it holds more than one row in so many; thus no more keys than this are.
 HOT_KEYS = 10_000
 #: Rows that any key may have without being hot.

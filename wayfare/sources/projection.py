@@ -1,8 +1,10 @@
 """A property graph over relational tables: orders, parts and who trades them.
 
-Vertex ids are kind * 10^12 + key, edge ids kind * 10^15 + a * 10^6 + b, where a and b
-are the two keys. Kinds, properties and labels are literals of each branch of a union,
-so a query that asks for one label or one kind reads only the tables behind it.
+Vertex ids are kind * 10^12 + key, edge ids number * 10^18 + a * 10^8 + b, where a and b
+are the two keys; keys that don't fit are an error, never another edge's id. With
+``wide`` edge ids are decimals of 38 digits, number * 10^36 + a * 10^18 + b, which hold
+all keys. Kinds, properties and labels are literals of each branch of a union, so a query
+that asks for one label or one kind reads only the tables behind it.
 """
 
 from __future__ import annotations
@@ -21,11 +23,16 @@ def vertex_id(kind: str, key: Column) -> Column:
     return F.lit(KINDS[kind] * 10**12).cast("bigint") + key.cast("bigint")
 
 
-def edge_id(number: int, a: Column, b: Column) -> Column:
-    return F.lit(number * 10**15).cast("bigint") + a.cast("bigint") * 1_000_000 + b.cast("bigint")
+def edge_id(number: int, a: Column, b: Column, wide: bool = False) -> Column:
+    a, b = a.cast("bigint"), b.cast("bigint")
+    if wide:
+        digits = lambda c: F.lpad(c.cast("string"), 18, "0")
+        return F.concat(F.lit(str(number)), digits(a), digits(b)).cast("decimal(38,0)")
+    packed = F.lit(number * 10**18).cast("bigint") + a * F.lit(10**8).cast("bigint") + b
+    return F.when((a < 10**10) & (b < 10**8), packed).otherwise(F.raise_error(F.lit("keys are too large for edge ids of 64 bits: ask for wide ones")).cast("bigint"))
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, ships: bool = False) -> PropertyGraph:
+def trade_graph(spark: SparkSession, sf_dir: str, ships: bool = False, wide: bool = False) -> PropertyGraph:
     """The graph of region, nation, customer, supplier, part, order; with ``ships`` also orders to suppliers."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +51,7 @@ def trade_graph(spark: SparkSession, sf_dir: str, ships: bool = False) -> Proper
 
     def edges(number: int, label: str, table: DataFrame, source: str, a: str, target: str, b: str, returnflag: Column | None = None) -> DataFrame:
         return table.select(
-            vertex_id(source, F.col(a)).alias("src"), vertex_id(target, F.col(b)).alias("dst"), edge_id(number, F.col(a), F.col(b)).alias("edge_id"),
+            vertex_id(source, F.col(a)).alias("src"), vertex_id(target, F.col(b)).alias("dst"), edge_id(number, F.col(a), F.col(b), wide).alias("edge_id"),
             F.lit(label).alias("label"), (returnflag if returnflag is not None else F.lit(None).cast("string")).alias("returnflag"),
         )
 
@@ -68,10 +75,15 @@ def trade_graph(spark: SparkSession, sf_dir: str, ships: bool = False) -> Proper
     return PropertyGraph(v, e)
 
 
-def place_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Only regions, nations, customers and suppliers: small enough for whole-graph closures in SQL."""
-    g = trade_graph(spark, sf_dir)
-    return PropertyGraph(g.vertices.where(F.col("kind").isin("region", "nation", "customer", "supplier")), g.edges.where(F.col("label").isin("IN_REGION", "FROM")))
+def sales_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Orders and parts with numbers as properties: prices and sizes of parts, total prices of orders, quantities of lines."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    none = F.lit(None)
+    parts = t("part").select(vertex_id("part", F.col("p_partkey")).alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("int").alias("size"))
+    orders = t("orders").select(vertex_id("order", F.col("o_orderkey")).alias("id"), F.col("o_totalprice").alias("price"), none.cast("int").alias("size"))
+    lines = t("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("quantity"))
+    edges = lines.select(vertex_id("order", F.col("l_orderkey")).alias("src"), vertex_id("part", F.col("l_partkey")).alias("dst"), edge_id(5, F.col("l_orderkey"), F.col("l_partkey")).alias("edge_id"), "quantity")
+    return PropertyGraph(parts.unionByName(orders), edges)
 
 
 def dialogue_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:

@@ -1,8 +1,10 @@
 """Readers of graph text formats, all as DataFrame expressions over lines.
 
 Each gives a ``PropertyGraph``. Vertices that only occur as sinks get rows too. Edge ids
-that a format lacks are ``hash`` based and depend on the line's source and the sink's
-place in it, so they are the same however the file is split.
+that a format lacks are decimals made of the line's source and the sink's place in it, so
+they are the same however the file is split, and no two sources share one; a source has
+one line (``PropertyGraph.check`` tells of ids that repeat). Lines that a format can't
+have are left out; ``malformed`` returns them.
 """
 
 from __future__ import annotations
@@ -13,8 +15,6 @@ from pyspark.sql import functions as F
 from ..operators.graph import PropertyGraph
 
 _IDS = "array<bigint>"
-#: Places in one line that an edge id leaves room for.
-_PLACES = 1_000_000
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -32,8 +32,20 @@ def _with_sinks(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def edge_number(source: Column, place: Column) -> Column:
-    """An id for the edge at a place of its source's line: source * 1,000,000 + place."""
-    return source * F.lit(_PLACES).cast("bigint") + place.cast("bigint")
+    """An id for the edge at a place of its source's line: the source's digits and twelve of the place."""
+    return F.concat(source.cast("string"), F.lpad(place.cast("string"), 12, "0")).cast("decimal(38,0)")
+
+
+def malformed(spark: SparkSession, path: str, form: str) -> DataFrame:
+    """Lines that a reader leaves out or can't read: ``form`` is json, adjacency or delimited."""
+    lines = _lines(spark, path)
+    if form == "json":
+        return lines.where(F.from_json("value", "array<string>").isNull() & ~F.col("value").rlike(r"^\d+$"))
+    if form == "adjacency":
+        return lines.where(~F.col("value").rlike(r"^-?\d+(\s+-?\d+)*$"))
+    if form == "delimited":
+        return lines.select(F.explode(F.split("value", r"\|")).alias("value")).where("trim(value) <> ''").where(~F.col("value").rlike(r"^\s*-?\d+#-?\d+@"))
+    raise ValueError("form is json, adjacency or delimited")
 
 
 def read_adjacency(spark: SparkSession, path: str, partitioned: bool = False) -> PropertyGraph:
