@@ -1,8 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-1. Evidence. Each whole text gives a few measures; logistic regression, fitted on a
-   bounded sample of labelled rows (``SAMPLE`` of each class, those whose ids hash
-   lowest), turns them into the document's own probability of being good.
+1. Evidence. Each whole text gives a few measures of its form, and the shares of its
+   words and word pairs by hash (``BINS`` of each, lower case); logistic regression,
+   fitted on a bounded sample of labelled rows (``SAMPLE`` of each class, those whose ids
+   hash lowest), turns them into the document's own probability of being good.
 2. Sites. Grouped sums of those probabilities give each host and each path a mean.
    Host means scatter around the global mean, path means around their host's; the
    method of moments says how widely, and so how many documents a prior is worth. A
@@ -13,8 +14,9 @@
 Defined results: a null or empty text is evidence of a text without words; rows without
 a host have the global prior for a site; a null path is a path of its own; labels that
 are null don't count, of repeated labels the best; without labels of both classes the
-evidence is 0.5 for all; repeated rows count as often as they occur; extra columns are
-ignored; an empty table gives an empty result.
+evidence is 0.5 for all; texts of any length are measured whole; a posterior of exactly
+the cutoff is kept; repeated rows count as often as they occur; other columns of any name
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, least_hashed, on_disk, slices, small, texts, written
+from ..plans.tables import fresh, join_keyed
+from ._common import NO_WORD, Words, least_hashed, slices, texts, written
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 5000
@@ -33,6 +36,8 @@ _LINE[[10, 13]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&<>"]] = True
 _KINDS = {"symbols": _SYMBOL, "pipes": np.arange(256) == 124, "upper": (np.arange(256) >= 65) & (np.arange(256) <= 90), "digits": (np.arange(256) >= 48) & (np.arange(256) <= 57), "bangs": np.arange(256) == 33}
+#: Hash bins of words, and of word pairs.
+BINS = 256
 FEATURES = ("log_words", "word_bytes", "distinct_words", "repeated_runs", "repeated_lines", *_KINDS, "short")
 
 
@@ -69,12 +74,30 @@ def features(array: pa.Array) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Logistic regression by Newton's method: intercept and weights on standardised features."""
+def hashed(array: pa.Array) -> np.ndarray:
+    """Square roots of the shares of each text's words by hash bin, then of its word pairs; a row is of length 1 in each half."""
+    n = len(array)
+    words = Words(array, NO_WORD, lower=True)
+    pairs, pair_row, pair_count = words.windows(2)
+    halves = []
+    for h, row, count in ((words.hash, words.row, words.count), (pairs, pair_row, pair_count)):
+        cells = np.bincount(row * BINS + (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=n * BINS).reshape(n, BINS)
+        halves.append(np.sqrt(cells / np.maximum(count, 1)[:, None]))
+    return np.concatenate(halves, axis=1)
+
+
+def measured(array: pa.Array) -> np.ndarray:
+    """FEATURES and hashed shares of each text."""
+    return np.concatenate([features(array), hashed(array)], axis=1)
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50, hashed_ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton's method: intercept and weights on standardised features, hashed ones held back more."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
     w = np.zeros(z.shape[1])
-    penalty = ridge * len(x) * np.r_[0, np.ones(x.shape[1])] / 100 + 1e-9
+    form = np.arange(x.shape[1]) < len(FEATURES)
+    penalty = len(x) * np.r_[0, np.where(form, ridge, hashed_ridge)] / 100 + 1e-9
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
@@ -91,30 +114,33 @@ def evidence(docs: DataFrame, labels: DataFrame, *keep: Column) -> DataFrame:
     picked = written(picked.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")), "quality-sample")
 
     def measure(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.list_(pa.float64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.binary())])
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(list(features(part.column(2))), pa.list_(pa.float64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array([x.tobytes() for x in measured(part.column(2)).astype(np.float32)], pa.binary())], schema=schema)
 
     docs = texts(docs)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # 2 * SAMPLE rows
     # repeated ids could bring more rows than the bound; one of each is enough
-    got = sample.select("doc_id", F.col("_quality").alias("quality"), "text").mapInArrow(measure, "doc_id bigint, quality int, x array<double>").dropDuplicates(["doc_id"]).collect()
+    got = sample.select("doc_id", F.col("_quality").alias("quality"), "text").mapInArrow(measure, "doc_id bigint, quality int, x binary").dropDuplicates(["doc_id"]).collect()  # 2 kB each
     got.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in got], float)
-    weights = fit(np.array([r.x for r in got]), y) if 0 < y.sum() < len(y) else np.zeros(len(FEATURES) + 1)
+    width = len(FEATURES) + 2 * BINS
+    weights = fit(np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, width).astype(float), y) if 0 < y.sum() < len(y) else np.zeros(width + 1)
     # the sample takes as many of each class as there are; the odds go back to those of all labels
     counts = dict(known.groupBy("quality").count().collect())
     if 0 < y.sum() < len(y):
         weights[0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
 
-    narrow = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = narrow.drop("_text").schema.add("evidence", "double")
+    kept = docs.select(*keep)
+    (text,) = fresh(kept, "_text")
+    narrow = docs.select(*keep, F.col("text").cast("string").alias(text))
+    schema = kept.schema.add("evidence", "double")
 
     def score(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
-                f = weights[0] + features(part.column(part.num_columns - 1)) @ weights[1:]
+            for part in slices(batch, text):
+                f = weights[0] + measured(part.column(part.num_columns - 1)) @ weights[1:]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))))], names=schema.names)
 
     return narrow.mapInArrow(score, schema)
@@ -144,9 +170,10 @@ def site_posteriors(judged: DataFrame, *keep: str, strength: float = 1.0) -> Dat
     host_mean = hosts.select("host", (F.col("good") / F.col("n")).alias("host_mean"))
     k_path = _prior_size(paths.join(host_mean, "host"), F.col("host_mean"))
 
+    site = F.struct("host", "path").alias("_site")
     sites = paths.select("host", "path", F.col("n").alias("path_n"), F.col("good").alias("path_good")).join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host")
-    sites = written(sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "path_n", "path_good", "host_n", "host_good"), "sites")
-    joined = judged.join(small(sites, 200_000), (F.col("host") == F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left")
+    sites = written(sites.select(site, "path_n", "path_good", "host_n", "host_good"), "sites")
+    joined = join_keyed(judged.withColumn("_site", site), sites, "_site", "path_n", "left", 200_000)
     host_rate = F.coalesce((k_host * mu + F.col("host_good") - F.col("evidence")) / (k_host + F.col("host_n") - 1), F.lit(mu))
     joined = joined.withColumn("host_rate", host_rate)
     path_rate = F.coalesce((k_path * F.col("host_rate") + F.col("path_good") - F.col("evidence")) / (k_path + F.col("path_n") - 1), F.lit(mu))
@@ -159,7 +186,7 @@ def site_posteriors(judged: DataFrame, *keep: str, strength: float = 1.0) -> Dat
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, cutoff: float = 0.5) -> DataFrame:
     """doc_id, host, path, evidence, host_rate, path_rate, posterior, kept."""
-    judged = on_disk(evidence(docs, labels, F.col("doc_id"), host.alias("host"), path.alias("path")))
+    judged = written(evidence(docs, labels, F.col("doc_id"), host.alias("host"), path.alias("path")), "quality-judged", compact=False)
     return site_posteriors(judged, "doc_id", "host", "path").withColumn("kept", F.col("posterior") >= cutoff)
 
 
