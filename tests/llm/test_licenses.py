@@ -94,3 +94,50 @@ def test_copies_that_follow_at_once(make):
     got = scan(make(rows)).collect()
     assert {i: sum(r.doc_id == i for r in got) for i in (1, 2, 3)} == {1: 10, 2: 7, 3: 4}
     assert {dict(rows)[r.doc_id][r.start : r.end] for r in got} == {"All rights reserved", "Released under the MIT License"}
+
+
+def brute_matches(text, templates, coverage):
+    """Every template aligned at every shift; the best alignment first, then again in what is left."""
+    out = []
+    for t, own in enumerate(templates):
+        left = text.copy()
+        while True:
+            best = max((align(left, own, s) for s in range(-len(own), len(text) + 1)), key=lambda m: (m[0], -(m[2] - m[1]), -m[1]))
+            if not best[0] or best[0] / len(own) < coverage:
+                break
+            out.append((t, best[1], best[2], best[0] / len(own)))
+            left[best[1] : best[2] + 1] = 0
+    out.sort(key=lambda m: (-m[3] * len(templates[m[0]]), -m[3], m[1], m[0]))
+    used, clear = np.zeros(len(text), bool), []
+    for m in out:
+        if not used[m[1] : m[2] + 1].any():
+            used[m[1] : m[2] + 1] = True
+            clear.append(m)
+    return sorted(clear, key=lambda m: (m[1], m[0]))
+
+
+def test_scan_against_all_alignments(spark, make):
+    """Planted whole and edited templates among chance words: the scan's rows are those of brute force."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    templates = {f"t{k}": " ".join(word() for _ in range(n)) for k, n in enumerate((4, 6, 12, 25, 40))}
+    templates["t5"] = " ".join(templates["t3"].split()[:15] + [word() for _ in range(10)])  # shares its beginning with another
+    rows = []
+    for i in range(25):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            parts.append(" ".join(word() for _ in range(rng.randint(0, 30))))
+            planted = rng.choice(list(templates.values())).split()
+            if len(planted) > 10:
+                for _ in range(rng.randint(0, len(planted) // 8)):
+                    planted[rng.randrange(len(planted))] = word()
+            parts.append(" ".join(planted))
+        rows.append((i, " ".join(parts + [" ".join(word() for _ in range(rng.randint(0, 20)))])))
+    got = sorted((r.doc_id, r.license, r.start, r.end, round(r.coverage, 9)) for r in scan(make(rows), templates).collect())
+    index = Index(templates)
+    want = []
+    for i, text in rows:
+        words = Words(pa.array([text]), NO_WORD, lower=True)
+        for t, a, b, c in brute_matches(words.hash, index.words, 0.6):
+            want.append((i, index.names[t], int(words.start[a]), int(words.end[b]), round(c, 9)))
+    assert len(want) > 20 and got == sorted(want)

@@ -13,9 +13,10 @@ coverage (matched / template words), the first and last of them the span. A matc
 reported from ``COVERAGE`` on, and its words are taken out of the text; hits in what is
 left are tried on, so several copies in one text are separate matches, however close.
 
-Defined results: null, empty and clean texts have no rows; repeated rows have their
-matches each; of matches that overlap in a text the one of most words stays; extra
-columns are ignored; an empty table gives an empty result.
+Defined results: null, empty and clean texts have no rows; texts of any length are
+scanned whole; repeated rows have their matches each; of matches that overlap in a text
+the one of most words stays, then of most coverage, then the first; other columns of any
+name are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
