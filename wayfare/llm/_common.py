@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import shared_dir, small, written  # noqa: F401
+from ..plans.tables import join_keyed, shared_dir, small, written  # noqa: F401
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -19,18 +18,14 @@ def least_hashed(rows: DataFrame, key: str, group: str, most: int) -> DataFrame:
     """At most ``most`` rows of each group, those whose key hashes lowest, with their rank ``n`` in it.
 
     The groups are counted first; a threshold on the hash then leaves little more than
-    ``most`` rows of each, so that ranking them takes no large group to one task.
+    ``most`` rows of each, so that ranking them takes no large group to one task; repeated
+    rows are one.
     """
-    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"))
+    sizes = written(rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size")), "sample-sizes")
     u = F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") / float(1 << 53)
-    near = rows.join(small(written(sizes, "sample-sizes"), 100_000), F.col(group) == F.col("_group")).where(u * F.col("_size") < 1.3 * most + 50)
+    near = join_keyed(rows, sizes, group, "_size", max_rows=100_000).where(u * F.col("_size") < 1.3 * most + 50)
     turn = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
-    return near.drop("_group", "_size").withColumn("n", F.row_number().over(turn)).where(F.col("n") <= most)
-
-
-def on_disk(df: DataFrame) -> DataFrame:
-    """``df`` kept on the executors' disks between uses; what a lost executor held is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    return near.drop("_size").distinct().withColumn("n", F.row_number().over(turn)).where(F.col("n") <= most)
 
 
 # --------------------------------------------------------------------------- batches

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import forget, join_keyed
-from ._common import on_disk, text_or_empty, texts, written
+from ._common import text_or_empty, texts, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Pattern and topic, the first that matches; without any, short texts are notes and others prose.
@@ -198,7 +198,7 @@ def mixture_sql(sweeps: int = 60) -> str:
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cell, raked ratio, probability, weight, and how often it is taken."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    celled = on_disk(with_cells(docs.select("doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else []))).select("doc_id", "_source", "_lang", "_topic", "_tokens"))
+    celled = written(with_cells(docs.select("doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else []))).select("doc_id", "_source", "_lang", "_topic", "_tokens"), "mix-celled", compact=False)
     drawn = _drawn(celled, probabilities(celled), SEED)
     r = lambda c: F.round(F.col(c), 6).alias(c[1:])
     return drawn.select(

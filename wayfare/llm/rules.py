@@ -4,21 +4,24 @@ Base measures come from array expressions on each text. A rule rejects a text if
 measure exceeds a cutoff. The cutoffs are learned from labelled documents, for each
 stratum (language): going from the most lenient cutoff of a rule to stricter ones, a
 cutoff is accepted while the exact binomial test rejects "this rule loses a share of
-more than ``alpha / rules`` of the stratum's good documents"; the first that fails
-ends the sequence. All accepted cutoffs hold at once, so the one used may be picked on
-the same labels: it gains most rejected bad documents less ``price`` times the good
-ones lost, the more lenient on ties. Sequences are tested at level ``delta / (strata * rules)``, so with
-probability 1 - delta no stratum loses a share above ``alpha`` of its good documents
-to all rules together. A stratum with too few labels gets no cutoff: it keeps
-everything that passes the base rules.
+more than ``alpha / rules`` of the stratum's good documents that pass the base rules";
+the first that fails ends the sequence. All accepted cutoffs hold at once, so the one
+used may be picked on the same labels: it gains most rejected bad documents less
+``price`` times the good ones lost, the more lenient on ties. Sequences are tested at
+level ``delta / (strata * rules)``, so with probability 1 - delta no stratum loses a
+share above ``alpha`` of its good documents that pass the base rules to all learned
+rules together; what the base rules reject is fixed beforehand and outside the
+guarantee. A stratum with too few labels gets no cutoff: it keeps everything that passes
+the base rules.
 
 Only DataFrame expressions run on the executors.
 
 Defined results: a null or empty text has no words and fails the base rules; a null
-stratum is a stratum; labels of unknown or repeated documents count once for each
-document row they match, labels of null quality don't count; columns other than
-``doc_id``, ``text`` and the stratum are ignored; an empty table gives an empty result,
-an empty label table no cutoffs.
+stratum is a stratum; texts of any length are measured whole; of cutoffs with the same
+gain the more lenient is used, a measure equal to a cutoff passes; labels of unknown or
+repeated documents count once for each document row they match, labels of null quality
+don't count; columns other than ``doc_id``, ``text`` and the stratum are ignored; an
+empty table gives an empty result, an empty label table no cutoffs.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import on_disk, small, text_or_empty, texts, written
+from ._common import small, text_or_empty, texts, written
 from ._exact import binomial_cdf
 
 #: Each rule: a measure in [0, 1] and its cutoffs, most lenient first. Fixed beforehand, so that the tests hold.
@@ -143,7 +146,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
     The measures, narrow rows, are kept on disk: they serve the calibration and the
     verdicts.
     """
-    measured = on_disk(measures(docs, "doc_id", stratum))
+    measured = written(measures(docs, "doc_id", stratum), "rule-measures", compact=False)
     limits = written(cutoffs(measured, labels, alpha, delta, stratum), "rule-cutoffs")
     joined = measured.join(small(limits, 100_000), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
     broken = F.coalesce(*(F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RULES))
