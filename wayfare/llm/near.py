@@ -39,7 +39,7 @@ from ._common import Words, fixed_binary, mix, slices, small, texts, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Largest part of a bucket that meets itself or another part in one task: texts, and n-grams.
-BLOCK_TEXTS, BLOCK_GRAMS = 500, 500_000
+BLOCK_TEXTS, BLOCK_GRAMS = 250, 250_000
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = 100) -> tuple[int, int]:
