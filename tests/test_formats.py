@@ -84,3 +84,17 @@ def test_random_graph(spark):
     with pytest.raises(AssertionError):
         assert edges(a) == edges(R.random_graph(spark, 50, 200, 5))
     assert a.edges.agg(F.max("dst")).first()[0] < 50
+
+
+def test_implicit_records(spark, tmp_path):
+    vid, country, edges_path = put(tmp_path / "vid", "5|7|", "9|"), put(tmp_path / "country", "US||DE|"), put(tmp_path / "edges", "1%7:9|", "0%|", "0%5|")
+    g = R.read_implicit(spark, {"vid": vid, "country": country}, edges_path)
+    assert {r.id: r.country for r in g.vertices.collect()} == {5: "US", 7: "", 9: "DE"}
+    assert edges(g) == [(5, 7), (5, 9), (9, 5)]
+
+
+def test_malformed_lines(spark, tmp_path):
+    path = put(tmp_path / "j", "3", '[1,0,"a",[]]', "{broken")
+    assert [r.value for r in R.malformed(spark, path, "json").collect()] == ["{broken"]
+    path = put(tmp_path / "d", "0#1@US|oops|0#2@DE|")
+    assert [r.value for r in R.malformed(spark, path, "delimited").collect()] == ["oops"]

@@ -245,6 +245,36 @@ def test_pregel_and_centres(g0):
     assert A.k_centres(g0, 2, 5).where("distance = 0").count() == 2
 
 
+def test_subgraphs_of_any_ids(spark):
+    """Ids that leave no room for the partition take another key; the groups are those of plain union-find."""
+    rng = random.Random(5)
+    base = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    for shift in (0, -30, (1 << 62) - 40):
+        ids = [i + shift for i in range(60)]
+        pairs = [(a + shift, b + shift) for a, b in base]
+        g = PropertyGraph(spark.createDataFrame([(i,) for i in ids], "id bigint"), spark.createDataFrame([(a, b, n) for n, (a, b) in enumerate(pairs)], "src bigint, dst bigint, edge_id bigint"))
+        root = {(p, i): (p, i) for p in range(3) for i in ids}
+
+        def find(x):
+            while root[x] != x:  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        for a, b in pairs:
+            x, y = find((a % 3, a)), find((a % 3, b))
+            root[max(x, y)] = min(x, y)
+        want = {}
+        for p in range(3):
+            least = {}
+            for i in ids:
+                if i % 3 == p:
+                    least.setdefault(find((p, i)), i)
+            for n, k in enumerate(sorted(least, key=least.get)):
+                want |= {i: (p, n | p << 32) for i in ids if i % 3 == p and find((p, i)) == k}
+        got = {r.id: (r.partition_id, r.subgraph_id) for r in T.vertex_subgraphs(g, 3).collect()}
+        assert got == want
+
+
 def plain_centres(ids, edges, k, rounds, patience=2):
     """k-centres by plain loops: nearest centre (least on ties), then the member with most neighbours in its cluster."""
     near = {i: set() for i in ids}

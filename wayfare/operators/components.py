@@ -15,21 +15,23 @@ from pyspark.sql import functions as F
 from ..plans.tables import forget, join_keyed, written
 
 #: Edges up to which the least neighbours, at most two for each edge, are sent whole without being measured.
-FEW_EDGES = 150_000
+FEW_EDGES = 300_000
 
 
 def _with_least(pairs: DataFrame, least: DataFrame, edges: int, used: list[DataFrame]) -> DataFrame:
     if edges <= FEW_EDGES:
         return pairs.join(F.broadcast(least.drop("n")), "a")
-    kept, table = written(pairs, "star-pairs"), written(least, "star-least")
-    used += (kept, table)
-    return join_keyed(kept, table, "a", "n").drop("n")
+    table = written(least, "star-least")
+    used.append(table)
+    return join_keyed(pairs, table, "a", "n").drop("n")
 
 
 def _large_star(edges: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return _with_least(both, least, n, used).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    star = written(_with_least(both, least, n, used).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
+    used.append(star)
+    return star
 
 
 def _small_star(edges: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
@@ -39,22 +41,28 @@ def _small_star(edges: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
     return links.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame, n: int) -> bool:
+    """Whether all that is left are stars: each node points to one other, and no such other points anywhere."""
+    nodes = edges.select(F.col("a").alias("b")).distinct()
+    if nodes.count() < n:
+        return False
+    return edges.join(F.broadcast(nodes) if n <= FEW_EDGES else nodes, "b", "left_semi").isEmpty()
+
+
 def star_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
     """(a, b) edges between comparable ids of fixed width to (node, root): the least node of each component.
 
     Nodes without an edge to another node don't appear.
     """
-    edges = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
-    seen = mark(edges)
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n = edges.count()
     for _ in range(max_steps):
+        if not n or _settled(edges, n):
+            break
         used = [edges]
-        edges = written(_small_star(_large_star(edges, seen[0], used), seen[0], used), "edges")
-        now = mark(edges)
+        edges = written(_small_star(_large_star(edges, n, used), n, used), "edges")
+        n = edges.count()
         forget(*used)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"star_components: edges still change after {max_steps} steps")
     roots = edges.select(F.col("b").alias("node")).distinct()

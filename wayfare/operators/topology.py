@@ -30,9 +30,17 @@ def vertex_subgraphs(graph: PropertyGraph, partitions: int, whole: bool = False)
         return own.withColumn("subgraph_id", subgraph_id(F.lit(0), F.col("partition_id")))
     # a vertex stands for itself in its own partition; in others its proxy does, so the key has the partition too
     part = partition_of(F.col("src"), partitions)
-    key = lambda c: F.struct(part.alias("part"), F.col(c).alias("id"))
+    ends = graph.edges.agg(F.max(F.greatest("src", "dst")).alias("most"), F.min(F.least("src", "dst")).alias("least")).first()
+    if ends.most is None or (ends.least >= 0 and ends.most < (1 << 62) // partitions):
+        # as one number, where ids leave room for the partition
+        key = lambda c: F.col(c) * F.lit(partitions).cast("bigint") + part
+        split = lambda c: (F.pmod(F.col(c), F.lit(partitions)).cast("int"), F.expr(f"{c} div {partitions}"))
+    else:
+        key = lambda c: F.struct(part.alias("part"), F.col(c).alias("id"))
+        split = lambda c: (F.col(f"{c}.part"), F.col(f"{c}.id"))
     linked = star_components(graph.edges.select(key("src").alias("a"), key("dst").alias("b")))
-    local = linked.select(F.col("node.part").alias("part"), F.col("node.id").alias("node"), F.col("root.id").alias("root"))
+    (of, node), (_, root) = split("node"), split("root")
+    local = linked.select(of.alias("part"), node.alias("node"), root.alias("root"))
     joined = own.join(local, (F.col("partition_id") == F.col("part")) & (F.col("id") == F.col("node")), "left")
     # the root may be a proxy of a lesser id, so groups are named by their least local vertex
     rooted = joined.select("id", "partition_id", F.coalesce("root", "id").alias("root"), F.col("root").isNull().alias("alone"))

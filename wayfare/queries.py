@@ -601,6 +601,17 @@ def _read_property_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_property_files(spark, files, _text(adjacency_records(g, sg), "adjacency")).vertices.select("id", "kind", "name")
 
 
+@_query("read_implicit", f"{G}, {SHIPS} SELECT src, dst, kind AS src_kind FROM s JOIN v ON v.id = src")
+def _read_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each property and one for the edges, whose records belong together by their numbers alone."""
+    g = ships_graph(spark, sf_dir)
+    rows = written(_edge_lists(g, F.col("dst").cast("string")).select("id", "kind", F.concat(F.size("list").cast("string"), F.lit("%"), F.array_join("list", ":")).alias("sinks")), "records")
+    put = lambda c: _text(rows.orderBy("id").select(F.concat(F.col(c).cast("string"), F.lit("|")).alias("value")), f"implicit-{c}")
+    back = R.read_implicit(spark, {"vid": put("id"), "kind": put("kind")}, put("sinks"))
+    kinds = back.vertices.select(F.col("id").alias("src"), F.col("kind").alias("src_kind"))
+    return back.edges.select("src", "dst").join(kinds, "src")
+
+
 _REGISTRY["k_centres"] = (lambda spark, sf: A.k_centres(ships_graph(spark, sf), 10, 5), None)  # rounds of moves: no SQL; tested against brute force on small graphs
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.prefix import sum_before
 from ..operators.graph import PropertyGraph
 
 _IDS = "array<bigint>"
@@ -171,6 +172,29 @@ def read_property_files(spark: SparkSession, files: dict[str, str], edge_path: s
     return PropertyGraph(_with_sinks(graph, edges), edges)
 
 
+def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(index, name): ``|``-terminated records in the order of files by name and of places in them, numbered from 0 by ranges."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"\|\s*$", "").alias("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    records = lines.select("_file", "_block", "_line", F.posexplode(F.split("value", r"\|")).alias("_place", name)).withColumn("_one", F.lit(1).cast("bigint"))
+    return sum_before(records, "_one", "_file", "_block", "_line", "_place", out="index").select("index", name)
+
+
+def read_implicit(spark: SparkSession, files: dict[str, str], edge_path: str, id_name: str = "vid") -> PropertyGraph:
+    """One file of ``value|`` records for each property, and one of ``locals%sink:sink|`` records.
+
+    Records say nothing of whom they belong to: those of the same number in all files are
+    one vertex, whose id is in the file ``id_name``.
+    """
+    ids = _numbered(spark, files[id_name], id_name).select("index", F.col(id_name).cast("bigint").alias("id"))
+    rows = ids
+    for name, path in files.items():
+        if name != id_name:
+            rows = rows.join(_numbered(spark, path, name), "index", "left")
+    sinks = ids.join(_numbered(spark, edge_path, "sinks"), "index").select("id", F.posexplode(F.filter(F.split(F.regexp_replace("sinks", r"^\d*%", ""), ":"), lambda x: x != "")).alias("place", "dst"))
+    edges = sinks.select(F.col("id").alias("src"), F.col("dst").cast("bigint").alias("dst"), edge_number(F.col("id"), F.col("place")).alias("edge_id"))
+    return PropertyGraph(_with_sinks(rows.drop("index"), edges), edges)
+
+
 def read_tables(spark: SparkSession, path: str) -> PropertyGraph:
     """A graph that ``write_tables`` wrote: Parquet, one column for each property."""
     return PropertyGraph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
