@@ -1,10 +1,12 @@
-"""Connected components by alternating large-star and small-star steps.
-
-Each step replaces a node's neighbourhood by a star around its least member; the
-number of steps grows with the logarithm of the longest chain, and no step makes more
-rows than there are edges. Edges are written after each step, and the step before is
-removed. The neighbours of a hub don't meet in one task: its least neighbour is found
-with partial sums and sent to where they are.
+"""Connected components by contraction along least neighbours.
+
+Each round every node points to the least of itself and its neighbours. Pointers are
+followed to their ends by doubling, which takes the logarithm of the longest way, and
+edges are drawn anew between the ends; those within a component fall away. An end that
+no other node shares has a lesser neighbour in the next round, so two rounds leave at
+most half of the nodes, most often far fewer. Tables are written after each step, and those that nothing
+reads again are removed. Neither a hub's edges nor the many that point to one end meet in
+one task: small tables are sent whole, of large ones the rows of hot keys (``join_keyed``).
 """
 
 from __future__ import annotations
@@ -12,41 +14,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import forget, join_keyed, written
-
-#: Edges up to which the least neighbours, at most two for each edge, are sent whole without being measured.
-FEW_EDGES = 300_000
-
-
-def _with_least(pairs: DataFrame, least: DataFrame, edges: int, used: list[DataFrame]) -> DataFrame:
-    if edges <= FEW_EDGES:
-        return pairs.join(F.broadcast(least.drop("n")), "a")
-    table = written(least, "star-least")
-    used.append(table)
-    return join_keyed(pairs, table, "a", "n").drop("n")
-
+from ..plans.tables import FEW_ROWS, forget, join_keyed, written
 
-def _large_star(edges: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    star = written(_with_least(both, least, n, used).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
-    used.append(star)
-    return star
 
+def _with_ends(rows: DataFrame, column: str, ends: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with ``column`` replaced by its end; ``ends`` has (node, up, n), n at least the rows of a node."""
+    table = ends.select(F.col("node").alias(column), F.col("up").alias("_end"), F.col("n").alias("_n"))
+    joined = rows.join(F.broadcast(table.drop("_n")), column) if few else join_keyed(rows, table, column, "_n").drop("_n")
+    return joined.drop(column).withColumnRenamed("_end", column)
 
-def _small_star(edges: DataFrame, n: int, used: list[DataFrame]) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    links = _with_least(down, least, n, used).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return links.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
-
-def _settled(edges: DataFrame, n: int) -> bool:
-    """Whether all that is left are stars: each node points to one other, and no such other points anywhere."""
-    nodes = edges.select(F.col("a").alias("b")).distinct()
-    if nodes.count() < n:
-        return False
-    return edges.join(F.broadcast(nodes) if n <= FEW_EDGES else nodes, "b", "left_semi").isEmpty()
+def _followed(pointers: DataFrame, few: bool, max_steps: int) -> DataFrame:
+    """(node, up, n): pointers that lead to their ends."""
+    for _ in range(max_steps):
+        used = [pointers]
+        if few:
+            ahead = F.broadcast(pointers.select(F.col("node").alias("up"), F.col("up").alias("next")))
+            joined = pointers.join(ahead, "up")
+        else:
+            counts = pointers.groupBy("up").agg(F.count("*").alias("_n"))
+            ahead = written(counts.join(pointers.select(F.col("node").alias("up"), F.col("up").alias("next")), "up"), "pointers-ahead")
+            used.append(ahead)
+            joined = join_keyed(pointers, ahead, "up", "_n")
+        longer = written(joined.select("node", F.col("next").alias("up"), "n", (F.col("next") != F.col("up")).alias("moved")), "pointers")
+        moved = not longer.where("moved").isEmpty()
+        forget(*used)
+        pointers = longer
+        if not moved:
+            return pointers
+    raise RuntimeError(f"pointers don't end after {max_steps} doublings")
 
 
 def star_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
@@ -55,15 +51,30 @@ def star_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
     Nodes without an edge to another node don't appear.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    n = edges.count()
+    labels = None
     for _ in range(max_steps):
-        if not n or _settled(edges, n):
+        if edges.isEmpty():
             break
-        used = [edges]
-        edges = written(_small_star(_large_star(edges, n, used), n, used), "edges")
-        n = edges.count()
-        forget(*used)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pointers = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"), "n"), "pointers")
+        few = pointers.count() <= FEW_ROWS
+        ends = _followed(pointers, few, max_steps)
+        moved = _with_ends(_with_ends(edges, "a", ends, few), "b", ends, few).where("a <> b")
+        left = written(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        if labels is None:
+            labels = ends.select("node", F.col("up").alias("root"))
+        else:
+            step = ends.select(F.col("node").alias("root"), "up")
+            if few:
+                after = labels.join(F.broadcast(step), "root", "left")
+            else:
+                table = written(labels.groupBy("root").agg(F.count("*").alias("_n")).join(step, "root"), "label-steps")
+                after = join_keyed(labels, table, "root", "_n", "left")
+            labels = written(after.select("node", F.coalesce("up", "root").alias("root")), "labels")
+        forget(edges)
+        edges = left
     else:
-        raise RuntimeError(f"star_components: edges still change after {max_steps} steps")
-    roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+        raise RuntimeError(f"star_components: edges are left after {max_steps} rounds")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return labels
