@@ -136,7 +136,7 @@ def test_large_input_plans(make, prose, monkeypatch):
     assert want == brute(rows)
     monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(tables, "small", lambda df, *_: df)
-    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    monkeypatch.setattr(components, "FEW_ROWS", 0)
     monkeypatch.setattr(tables, "HOT_LEAST", 10)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_classes(make(rows)).collect()) == want
 
