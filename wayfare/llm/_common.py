@@ -45,7 +45,7 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
