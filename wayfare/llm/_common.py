@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,6 +50,21 @@ def texts(docs: DataFrame) -> DataFrame:
 SLICE_BYTES = 2_000_000
 
 
+def _return_freed_memory() -> None:
+    """Let arrays of more than a megabyte go back to the machine once they are freed.
+
+    The C library raises this bound to the largest array that it has seen freed, and
+    keeps everything below it: workers that live through many stages would only grow.
+    """
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option is not None:
+        for option in (-3, -1):  # the bound from which memory is mapped by itself, and the free top of the heap that is kept
+            set_option(option, 1 << 20)
+
+
+_return_freed_memory()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Cut a record batch into runs of rows whose texts hold about ``limit`` bytes.
 
