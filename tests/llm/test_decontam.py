@@ -234,6 +234,69 @@ def test_the_sample_is_never_empty_at_scale(make, monkeypatch):
     assert D.sample_of(docs, 2 * 10**9).count() <= 1 and D.sample_of(docs, 25_000).count() > 400
 
 
+def plain_rows(texts, vocabulary, idf):
+    """TF-IDF rows of passages, text by text and word by word."""
+    at, rows = {int(h): k for k, h in enumerate(vocabulary)}, []
+    for text in texts:
+        words = [int(h) for h in D.words_of(pa.array([text], pa.string())).hash]
+        for a in range(0, len(words), D.PASSAGE):
+            row = np.zeros(len(vocabulary))
+            for h in words[a : a + D.PASSAGE]:
+                if h in at:
+                    row[at[h]] += idf[D._bin(np.array([h], np.uint64))[0]]
+            if row.any():
+                rows.append(row / np.linalg.norm(row))
+    return np.array(rows)
+
+
+def test_products_of_all_texts_against_plain_loops(make, prose, monkeypatch):
+    """Every passage of every text is in the sums, for each block's vocabulary, however small the parts."""
+    monkeypatch.setattr(D, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(D, "SUMS_HELD", 120)
+    monkeypatch.setattr(D, "TILE", 7)
+    docs, items, _ = corpus(make, prose)
+    docs = docs.limit(60).union(make([(None, None), (900, ""), (901, items[0][1]), (901, items[0][1])])).cache()
+    n, df = document_frequencies(docs, D.runs_of(items))
+    idf = weights_of(n, df)
+    vocabularies = [D._known([(i, t, None) for i, t in some], idf)[1] for some in (items[:3], items[2:9], [])]
+    tiles = D.text_products(docs, vocabularies, idf).collect()
+    texts = [r.text for r in docs.collect()]
+    for block, v in enumerate(vocabularies):
+        got = np.zeros((len(v), len(v)))
+        for r in tiles:
+            if r.block == block:
+                i, j = (np.frombuffer(x, np.int32) for x in (r.i, r.j))
+                assert (i // D.TILE == r.tile).all() and not got[i, j].any()
+                got[i, j] = np.frombuffer(r.g, np.float32)
+        rows = plain_rows(texts, v, idf) if len(v) else np.zeros((0, 0))
+        assert np.allclose(got, rows.T @ rows, rtol=1e-5, atol=1e-6)
+
+
+def test_spaces_are_fitted_on_all_documents(spark, make, prose, monkeypatch):
+    """The bound of the sample changes nothing, and the directions hold as much of all rows as a plain decomposition's."""
+    monkeypatch.setattr(D, "SAMPLE_DOCS", 1)
+    docs, items, truth = corpus(make, prose)
+    docs = docs.cache()
+    build, spaces = D.build_space, []
+    monkeypatch.setattr(D, "build_space", lambda *a: spaces.append(build(*a)) or spaces[-1])
+    got = {(r.doc_id, r.item_id) for r in contamination(docs, spark.createDataFrame(items, "item_id bigint, text string"), 32).collect()}
+    assert len(truth & got) >= 0.95 * len(truth) and got <= truth
+    n, df = document_frequencies(docs, D.runs_of(items))
+    texts = [r.text for r in docs.collect()]
+    for space in spaces:
+        rows = plain_rows(texts, space.vocabulary, weights_of(n, df))
+        own = np.zeros((len(space.passages), len(space.vocabulary)))
+        for k, p in enumerate(p for _, w, _ in space.items for p in D._passages(w)):
+            i, x = D._tfidf(p, space)
+            own[k, i] = x
+        both = np.concatenate([rows, own * np.sqrt(D.OWN * (rows**2).sum() / (own**2).sum())])
+        best = (np.linalg.svd(both, compute_uv=False)[:32] ** 2).sum()
+        assert ((both @ space.basis[:, :32]) ** 2).sum() > 0.995 * best
+    whole = [build(docs, [(i, t, None) for i, t in items if i in {x[0] for x in s.items}], weights_of(n, df), 32) for s in spaces]
+    for s, w in zip(spaces, whole):
+        assert (s.vocabulary == w.vocabulary).all() and np.allclose(s.basis @ s.basis.T, w.basis @ w.basis.T, atol=1e-3)
+
+
 def test_clashing_columns(spark, make, prose):
     rng = random.Random(3)
     item = prose(rng, 30)

@@ -3,10 +3,11 @@
 1. Statistics: the number of documents each word (hashed to ``IDF_BINS`` bins) occurs in,
    over all documents, gives inverse document frequencies. Runs of words that the
    benchmark has too are left out, so that leaks don't make its words look common.
-2. Latent space: TF-IDF rows of passages, in the benchmark's vocabulary, of a bounded
-   sample of documents (``SAMPLE_DOCS``, by id hash) plus the benchmark's own passages.
-   A randomised SVD finds its ``RANK`` main directions: every pass multiplies the
-   distributed matrix with a thin one, partition by partition, and sums the products.
+2. Latent space: TF-IDF rows of the passages of all documents, in the benchmark's
+   vocabulary, plus the benchmark's own passages. Their products word by word (A'A, which
+   is as large as the vocabulary squared, however many rows there are) are summed in one
+   read and written by tiles of ``TILE`` words. A randomised SVD finds the ``RANK`` main
+   directions: every pass multiplies the tiles with a thin matrix.
 3. Candidates: every window of every document, in ``SCALES`` of words at steps of
    ``STEPS``, against all benchmark passages by cosine, in blocks. The dot product is
    taken in the latent space, the window's length in the space of all words; so it is at
@@ -19,14 +20,14 @@
    the answer too, in one and the same place; the answer of an item is given, or else its last ``ANSWER_SHARE`` of words.
 
 The corpus is read three times, however many items there are: for the document counts
-(with the runs of all items left out), for the sample, which is written, and for the
-search. The benchmark is small against the corpus: it is taken in blocks of
+(with the runs of all items left out), for the products of all blocks' vocabularies, and
+for the search. Nothing is taken from a sample. The benchmark is small against the corpus: it is taken in blocks of
 ``ITEMS_PER_BLOCK`` items, and of about as many passages as the space has directions,
-each with its own space, fitted on the one sample. Directions that passages still lose
+each with its own space, fitted on all documents. Directions that passages still lose
 are added to the space, so that each keeps ``KEPT`` of its length. The search looks at
 all spaces at once, a word is looked up once for all of them; spaces of more than
 ``SPACES_BYTES`` in all take another search for each such share. The driver holds the
-items' words and runs, 16 bytes for each word of the benchmark.
+items' words, vocabularies and runs, 24 bytes for each word of the benchmark.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than
 ``LEAST_WORDS`` words can't be told from chance inside a text, and matches a text that
@@ -55,9 +56,13 @@ IDF_BINS = 1 << 19
 RANK, OVERSAMPLE, POWER_STEPS = 256, 16, 2
 #: Share of its length that each passage keeps in the space.
 KEPT = 0.99
+#: Of ``sample_of``, which no space is fitted on.
 SAMPLE_DOCS = 20_000
-SAMPLE_PARTS = 12
-#: Weight of the benchmark's passages in the decomposition, against the sample's.
+#: Words of a tile of A'A; it has a row for each of them.
+TILE = 128
+#: Pairs of words that a task expands at once, and sums that it holds before it sends them on.
+PAIRS_AT_ONCE, SUMS_HELD = 1 << 19, 1 << 20
+#: Weight of the benchmark's passages in the decomposition, against the documents'.
 OWN = 4.0
 ITEMS_PER_BLOCK = 1000
 #: Spaces that one search sends to the executors.
@@ -69,7 +74,7 @@ STEPS = (2, 4, STEP, STEP, STEP, STEP, STEP)
 RARE = 0.001
 #: Words in more than this share of the documents say next to nothing of a passage; they keep the weight FLOOR.
 COMMON, FLOOR = 0.05, 0.05
-#: Words of a passage in the space's sample.
+#: Words of a document's passage in the decomposition.
 PASSAGE = 40
 COSINE = 0.33
 COVERAGE, COVERAGE_WITH_ANSWER, ANSWER_SHARE, LEAST_WORDS = 0.7, 0.5, 0.2, 5
@@ -158,7 +163,7 @@ def _all_runs(items: DataFrame) -> np.ndarray:
 
 
 def sample_of(docs: DataFrame, n_docs: int) -> DataFrame:
-    """About ``SAMPLE_DOCS`` texts by hash, repeated rows apart, written."""
+    """About ``SAMPLE_DOCS`` texts by hash, repeated rows apart, written. The operator itself takes no sample."""
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), 11).cast("double") / float(1 << 53)
     one = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return written(one.where(u < SAMPLE_DOCS / max(n_docs, 1)).select("text"), "latent-sample")
@@ -217,42 +222,170 @@ def _tfidf(words: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
     return places, weight / max(float(np.linalg.norm(weight)), 1e-9)
 
 
+class _Sums:
+    """Sums of products by cell of A'A's upper half: memory follows ``PAIRS_AT_ONCE`` and ``SUMS_HELD``."""
+
+    def __init__(self):
+        self.cells, self.sums, self.waiting, self.n_waiting = np.zeros(0, np.int64), np.zeros(0), [], 0
+
+    def add(self, row: np.ndarray, word: np.ndarray, x: np.ndarray, n_words: int, base: int):
+        """Take rows' entries, sorted by row and word, each word once a row; yield what is sent on."""
+        n = len(row)
+        end = np.searchsorted(row, row, "right")
+        pairs = end - np.arange(n)  # an entry with itself and those after it in its row
+        group = (np.cumsum(pairs) - pairs) // PAIRS_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), n]
+        for a, b in zip(cuts, cuts[1:]):
+            left = np.repeat(np.arange(a, b), pairs[a:b])
+            right = left + np.arange(len(left)) - np.repeat(np.cumsum(pairs[a:b]) - pairs[a:b], pairs[a:b])
+            self.waiting.append((base + word[left] * np.int64(n_words) + word[right], x[left] * x[right]))
+            self.n_waiting += len(left)
+            if self.n_waiting >= PAIRS_AT_ONCE:
+                self._sum()
+                if len(self.cells) >= SUMS_HELD:
+                    yield from self.rest()
+
+    def _sum(self):
+        keys = np.concatenate([self.cells, *(k for k, _ in self.waiting)])
+        values = np.concatenate([self.sums, *(v for _, v in self.waiting)])
+        self.waiting, self.n_waiting = [], 0
+        self.cells, which = np.unique(keys, return_inverse=True)
+        self.sums = np.bincount(which, values, minlength=len(self.cells))
+
+    def rest(self):
+        self._sum()
+        if len(self.cells):
+            yield pa.RecordBatch.from_arrays([pa.array(self.cells), pa.array(self.sums)], names=["cell", "g"])
+        self.cells, self.sums = np.zeros(0, np.int64), np.zeros(0)
+
+
+def _tiles(sums: DataFrame, sizes: list[int]) -> DataFrame:
+    """(cell, g) sums of tasks to A'A's tiles (block, tile, i, j, g), written; a block's cells come after those of the blocks before it.
+
+    Cells are summed one by one, however many tasks there were; a tile holds ``TILE`` times a vocabulary at most.
+    """
+    ends = np.cumsum([n * n for n in sizes], dtype=np.int64)
+
+    def place(batches):
+        for batch in batches:
+            cell, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            block = np.searchsorted(ends, cell, "right")
+            n = np.array(sizes, np.int64)[block]
+            i, j = np.divmod(cell - ends[block] + n * n, n)
+            two = np.flatnonzero(i != j)  # the lower half is the upper one turned
+            block, i, j, g = (np.concatenate([own, other[two]]) for own, other in ((block, block), (i, j), (j, i), (g, g)))
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(i // TILE, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(g, pa.float32())], names=["block", "tile", "i", "j", "g"])
+
+    def gather(key, table):
+        table = table.combine_chunks()
+        one = [pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in ("i", "j", "g")]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), *one], names=["block", "tile", "i", "j", "g"])
+
+    summed = sums.groupBy("cell").agg(F.sum("g").alias("g"))
+    placed = summed.mapInArrow(place, "block int, tile int, i int, j int, g float")
+    return written(placed.groupBy("block", "tile").applyInArrow(gather, "block int, tile int, i binary, j binary, g binary"), "latent-tiles")
+
+
+def text_products(docs: DataFrame, vocabularies: list[np.ndarray], idf: np.ndarray) -> DataFrame:
+    """Tiles of A'A for each vocabulary (block 0, 1, ...); A has a TF-IDF row of length 1 for each passage of all texts. One read."""
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *vocabularies]))
+    some = np.zeros(IDF_BINS, bool)
+    some[_bin(every)] = True
+    local = [np.searchsorted(every, v) for v in vocabularies]
+    sent = docs.sparkSession.sparkContext.broadcast((every, some, local, idf))
+
+    def products(batches):
+        every, some, local, idf = sent.value
+        last = len(every)
+        bases = np.concatenate([[0], np.cumsum([len(v) ** 2 for v in local])]).astype(np.int64)
+        sums = _Sums()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = words_of(part.column(0))
+                hit = np.flatnonzero(some[_bin(words.hash)])
+                at = np.minimum(np.searchsorted(every, words.hash[hit]), max(last - 1, 0))
+                known = every[at] == words.hash[hit] if last else np.zeros(len(hit), bool)
+                hit, at = hit[known], at[known]
+                row = words.row[hit]
+                # a passage's number: those of the rows before it, and its place in its own row
+                before = -(-words.count // PASSAGE)
+                passage = (np.cumsum(before) - before)[row] + (hit - words.first[row]) // PASSAGE
+                weight = idf[_bin(words.hash[hit])].astype(np.float64)
+                for base, own in zip(bases, local):
+                    place = np.minimum(np.searchsorted(own, at), max(len(own) - 1, 0))
+                    mine = np.flatnonzero(own[place] == at) if len(own) else np.zeros(0, int)
+                    if not len(mine):
+                        continue
+                    cell, which = np.unique(passage[mine] * np.int64(len(own)) + place[mine], return_inverse=True)
+                    x = np.bincount(which, weight[mine], minlength=len(cell))
+                    p, word = np.divmod(cell, len(own))
+                    x /= np.sqrt(np.bincount(p, x * x))[p]
+                    yield from sums.add(p, word, x, len(own), base)
+        yield from sums.rest()
+
+    read = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(products, "cell bigint, g double")
+    return _tiles(read, [len(v) for v in vocabularies])
+
+
+def row_products(rows: DataFrame, n_words: int) -> DataFrame:
+    """As ``text_products`` of one vocabulary, of given rows (idx, w); each index once a row."""
+
+    def products(batches):
+        sums = _Sums()
+        for batch in batches:
+            for idx, w in zip(batch.column(0), batch.column(1)):
+                i, x = np.asarray(idx.values), np.asarray(w.values)
+                order = np.argsort(i)
+                yield from sums.add(np.zeros(len(i), int), i[order].astype(np.int64), x[order], n_words, 0)
+        yield from sums.rest()
+
+    return _tiles(rows.mapInArrow(products, "cell bigint, g double"), [n_words])
+
+
 def randomised_svd(rows: DataFrame, own: list[tuple[np.ndarray, np.ndarray]], n_words: int, rank: int = RANK) -> np.ndarray:
-    """Main right singular directions of the distributed rows (idx, w) and the driver's own rows.
+    """Main right singular directions of the distributed rows (idx, w) and the driver's own rows."""
+    tiles = row_products(rows, n_words)
+    basis = main_directions(tiles, own, n_words, rank)
+    forget(tiles)
+    return basis
+
 
-    Subspace iteration on A'A: each pass, every partition returns its A'(A Q) as blocks of
-    words, which are summed by block. The own rows weigh OWN times as much as all others together.
+def main_directions(tiles: DataFrame, own: list[tuple[np.ndarray, np.ndarray]], n_words: int, rank: int = RANK) -> np.ndarray:
+    """Main right singular directions of distributed rows, of which A'A is given in tiles, and the driver's own rows.
+
+    Subspace iteration: each pass returns (A'A) Q, a tile's words from each tile. The own
+    rows weigh OWN times as much as all others together.
     """
     rank = min(rank, n_words)
     width = min(n_words, rank + OVERSAMPLE)
     rng = np.random.default_rng(7)
     q = np.linalg.qr(rng.standard_normal((n_words, width)))[0].astype(np.float32)
-    spark = rows.sparkSession
-    energy = rows.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
+    spark = tiles.sparkSession
+
+    def trace(batches):
+        for batch in batches:
+            i, j, g = (batch.column(c).to_pylist() for c in ("i", "j", "g"))
+            parts = [np.frombuffer(z, np.float32)[np.frombuffer(x, np.int32) == np.frombuffer(y, np.int32)] for x, y, z in zip(i, j, g)]
+            yield pa.RecordBatch.from_arrays([pa.array([float(p.sum(dtype=np.float64)) for p in parts], pa.float64())], names=["e"])
+
+    energy = sum(r.e for r in tiles.mapInArrow(trace, "e double").collect())  # a number for each tile
     mine = sum(float((w * w).sum()) for _, w in own)
     scale = math.sqrt(OWN * energy / mine) if energy and mine else 1.0
-    block = 512
 
     def product(q: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast(q)
 
         def part(batches):
-            total = np.zeros((n_words, width), np.float32)
             for batch in batches:
-                for idx, w in zip(batch.column(0), batch.column(1)):
-                    i, x = np.asarray(idx.values), np.asarray(w.values).astype(np.float32)
-                    total[i] += x[:, None] * (x @ sent.value[i])
-            keys = [k for k in range(0, n_words, block) if total[k : k + block].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[k : k + block].tobytes() for k in keys], pa.binary())], names=["key", "part"])
-
-        def add(key, table):
-            parts = [np.frombuffer(b.as_py(), np.float32).astype(np.float64) for b in table.column("part")]
-            return pa.table({"key": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([np.sum(parts, axis=0).astype(np.float32).tobytes()], pa.binary())})
+                for tile, i, j, g in zip(*(batch.column(c) for c in ("tile", "i", "j", "g"))):
+                    first = tile.as_py() * TILE
+                    dense = np.zeros((min(TILE, n_words - first), n_words), np.float32)
+                    dense[np.frombuffer(i.as_buffer(), np.int32) - first, np.frombuffer(j.as_buffer(), np.int32)] = np.frombuffer(g.as_buffer(), np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([tile.as_py()], pa.int32()), pa.array([(dense @ sent.value).tobytes()], pa.binary())], names=["tile", "part"])
 
         out = np.zeros((n_words, width))
-        summed = rows.mapInArrow(part, "key int, part binary").groupBy("key").applyInArrow(add, "key int, part binary")
-        for r in summed.collect():  # one thin matrix
-            out[r.key : r.key + block] += np.frombuffer(r.part, np.float32).reshape(-1, width)
+        for r in tiles.mapInArrow(part, "tile int, part binary").collect():  # one thin matrix
+            out[r.tile * TILE : (r.tile + 1) * TILE] = np.frombuffer(r.part, np.float32).reshape(-1, width)
         for i, w in own:
             x = (w * scale).astype(np.float64)
             out[i] += x[:, None] * (x @ q[i])
@@ -288,47 +421,39 @@ def weights_of(n_docs: int, df: np.ndarray) -> np.ndarray:
     return np.maximum(idf, FLOOR).astype(np.float32)
 
 
-def build_space(docs: DataFrame, items: list[tuple[int, str, str | None]], idf: np.ndarray, rank: int = RANK) -> Space:
-    """The latent space of one block of benchmark items (id, text, answer), fitted on the texts of ``docs``."""
+def _known(items: list[tuple[int, str, str | None]], idf: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """A block's items (id, word hashes, answer's word hashes) that are long enough, and the block's vocabulary."""
     own_words = words_of(pa.array([t for _, t, _ in items], pa.string()))
     answers = words_of(pa.array([a for *_, a in items], pa.string()))
-    known, passages, owner = [], [], []
+    known = []
     for k, (item, *_) in enumerate(items):
         words = own_words.hash[own_words.first[k] : own_words.first[k] + own_words.count[k]]
         answer = answers.hash[answers.first[k] : answers.first[k] + answers.count[k]]
         if len(words) < LEAST_WORDS:
             continue
         known.append((item, words, answer if len(answer) else words[-max(1, round(ANSWER_SHARE * len(words))) :]))
-        for p in _passages(words):
-            passages.append(p)
-            owner.append(len(known) - 1)
     # words of weight FLOOR are left out, but for items that have hardly any others
     telling = [w[idf[_bin(w)] > FLOOR] for _, w, _ in known]
     vocabulary = np.unique(np.concatenate([t if len(np.unique(t)) > 2 else w for t, (_, w, _) in zip(telling, known)])) if known else np.zeros(0, np.uint64)
+    return known, vocabulary
+
+
+def build_space(docs: DataFrame, items: list[tuple[int, str, str | None]], idf: np.ndarray, rank: int = RANK, tiles: DataFrame | None = None) -> Space:
+    """The latent space of one block of benchmark items (id, text, answer), fitted on all texts of ``docs``.
+
+    ``tiles``: the block's own of ``text_products`` of the same texts, where the caller has them.
+    """
+    known, vocabulary = _known(items, idf)
+    passages = [(p, k) for k, (_, words, _) in enumerate(known) for p in _passages(words)]
+    owner = [k for _, k in passages]
+    passages = [p for p, _ in passages]
     space = Space(idf, vocabulary, np.zeros((len(vocabulary), 1), np.float32), np.zeros((0, 1), np.float32), np.array(owner, int), np.zeros(0, int), known)
     if not known:
         return space
     own = [_tfidf(p, space) for p in passages]
-    sent = docs.sparkSession.sparkContext.broadcast(space)
-
-    def sample_rows(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = words_of(part.column(0))
-                idx, w = [], []
-                for r in np.flatnonzero(words.count):
-                    for a in range(words.first[r], words.first[r] + words.count[r], PASSAGE):
-                        i, x = _tfidf(words.hash[a : min(a + PASSAGE, words.first[r] + words.count[r])], sent.value)
-                        if len(i):
-                            idx.append(i.astype(np.int32))
-                            w.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(idx, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float64()))], names=["idx", "w"])
-
-    sample = docs.select(F.col("text").cast("string").alias("text"))
-    # a bounded sample, in a bounded number of parts: each of them returns a whole thin matrix
-    rows = written(sample.mapInArrow(sample_rows, "idx array<int>, w array<double>").repartition(SAMPLE_PARTS), "latent-rows")
-    space.basis = completed(randomised_svd(rows, own, len(vocabulary), rank), own)
-    forget(rows)
+    mine = text_products(docs, [vocabulary], idf) if tiles is None else tiles
+    space.basis = completed(main_directions(mine, own, len(vocabulary), rank), own)
+    forget(mine)
     latent = np.array([(x[:, None] * space.basis[i]).sum(axis=0) for i, x in own], np.float32)
     space.kept = np.linalg.norm(latent, axis=1)
     space.passages = latent / np.maximum(space.kept[:, None], 1e-9)
@@ -348,7 +473,6 @@ def build_space(docs: DataFrame, items: list[tuple[int, str, str | None]], idf:
         weight = np.concatenate([np.zeros(0), *(x for _, x in mine)])
         order = np.argsort(word, kind="stable")
         space.lists.append((np.searchsorted(word[order], np.arange(len(vocabulary) + 1)), passage[order], weight[order]))
-    sent.unpersist()
     return space
 
 
@@ -582,7 +706,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Da
     items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))), "benchmark-blocks")
     n_docs, df = document_frequencies(docs, _all_runs(items))
     idf = weights_of(n_docs, df)
-    sample = sample_of(docs, n_docs)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("text_md5", pa.binary()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("coverage", pa.float64()), ("answered", pa.bool_())])
 
@@ -604,16 +727,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Da
 
         return keyed.mapInArrow(run, "doc_id bigint, text_md5 binary, item_id bigint, cosine double, coverage double, answered boolean")
 
+    def block_of(k: int) -> list[tuple]:
+        block = [(r.item_id, r.text, r.answer) for r in items.where(F.col("block") == k).collect()]
+        return sorted(block, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or ""))
+
+    tiles = text_products(docs, [_known(block_of(k), idf)[1] for k in range(n_blocks)], idf)
     found, spaces, short = None, [], []
     for k in range(n_blocks):
-        block = [(r.item_id, r.text, r.answer) for r in items.where(F.col("block") == k).collect()]
-        block.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or ""))
-        spaces.append(build_space(sample, block, idf, rank))
+        block = block_of(k)
+        spaces.append(build_space(docs, block, idf, rank, tiles.where(F.col("block") == k)))
         counts = words_of(pa.array([t for _, t, _ in block], pa.string())).count
         short += sorted({(i, t) for (i, t, _), n in zip(block, counts) if 0 < n < LEAST_WORDS}, key=str)
         if k == n_blocks - 1 or sum(s.nbytes for s in spaces) > SPACES_BYTES:
             part = searched(Search(spaces, short))
             found, spaces, short = part if found is None else found.unionByName(part), [], []
+    forget(tiles)
     return found
 
 
