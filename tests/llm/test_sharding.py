@@ -1,12 +1,15 @@
+import glob
 import math
 import random
+import zlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import wayfare.llm.sharding as sharding
 from wayfare.llm._exact import binomial_cdf, log_factorial
-from wayfare.llm.sharding import _draw, communication_matrix, op8_hypergeometric_shards, shuffle_into_shards
+from wayfare.llm.sharding import _draw, communication_matrix, op8_hypergeometric_shards, shuffle_into_shards, write_shards
 
 
 def big(v):
@@ -108,6 +111,42 @@ def test_law(spark, tmp_path, awkward):
     assert (null.size, null.text_crc32, null.law, null.grown_shard) == (1, 0, "rows", None)
 
 
+def test_whole_documents_lie_in_the_shards(spark, tmp_path, awkward, monkeypatch):
+    """The query moves all columns of all rows; its digests are those of the texts at their slots."""
+    tables = {}
+    write = sharding.written
+    monkeypatch.setattr(sharding, "written", lambda df, name, *a, **k: tables.setdefault(name, write(df, name, *a, **k)))
+    docs = awkward.unionByName(awkward.where("doc_id > 4")).cache()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.shard, r.slot): r for r in op8_hypergeometric_shards(spark, str(tmp_path)).collect()}
+    seen = []
+    for folder in glob.glob(tables["shards"]._written_to.removeprefix("file://") + "/shard=*"):
+        for file in glob.glob(f"{folder}/*.parquet"):
+            rows = pq.ParquetFile(file).read().to_pylist()
+            assert [r["slot"] for r in rows] == sorted(r["slot"] for r in rows)
+            for r in rows:
+                digest, raw = found.pop((int(folder.split("=")[1]), r.pop("slot"))), (r["text"] or "").encode()
+                assert (digest.doc_id, digest.size, digest.text_crc32) == (r["doc_id"], len(raw) + 1, zlib.crc32(raw))
+                seen.append(tuple(r[c] for c in docs.columns))
+    assert not found and sorted(map(repr, seen)) == sorted(repr(tuple(r)) for r in docs.collect())
+
+
+def test_ranges_hold_a_bounded_share_of_long_texts(spark, make, monkeypatch):
+    """Few rows of long texts fall into several ranges too; the slots stay gapless."""
+    monkeypatch.setattr(sharding, "BYTES_PER_RANGE", 20_000)
+    tables = {}
+    write = sharding.written
+    monkeypatch.setattr(sharding, "written", lambda df, name, *a, **k: tables.setdefault(name, write(df, name, *a, **k)))
+    got = write_shards(make([(i, "x" * 2000) for i in range(200)]), 4).select("shard", "slot").collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(j, k) for j in range(4) for k in range(50)]
+    assert tables["shard-ranges"].count() == 4 * 5  # some 100 kB a shard
+
+
+def test_shards_of_a_table_without_rows(spark, empty):
+    got = write_shards(empty)
+    assert got.count() == 0 and set(got.columns) == {*empty.columns, "shard", "slot"}
+
+
 def test_uniform(spark):
     """Neighbours part: over seeds, a row's shard is spread evenly, and two rows meet as often as chance says."""
     df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("clash").alias("shard"))

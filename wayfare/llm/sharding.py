@@ -11,6 +11,8 @@
 3. The first M[p][0] rows of block p go to shard 0, the next M[p][1] to shard 1, and so
    on. That is the exchange, the only one of whole rows.
 4. Each shard permutes what it got, which gives the slots.
+5. ``write_shards`` writes the whole rows, a folder for each shard, in the order of the
+   slots. The query ``op8_...`` shards whole documents and reads its digests from these.
 
 All is SQL expressions and windows over bounded groups; no Python runs on the
 executors. Blocks and slot ranges grow in number with the rows, so no task holds a
@@ -30,12 +32,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import fresh
-from ._common import small, text_or_empty, written
+from ..plans.tables import _width, forget, fresh
+from ._common import small, text_or_empty, texts, written
 from ._exact import log_factorial, uniform
 
-#: Rows of a slot range, on average, and children of a group of blocks.
-ROWS_PER_RANGE, FANOUT = 50_000, 64
+#: Rows and bytes of a slot range, on average, and children of a group of blocks.
+ROWS_PER_RANGE, BYTES_PER_RANGE, FANOUT = 50_000, 32 << 20, 64
 #: Attempts of one draw; each succeeds more often than not.
 ATTEMPTS = 100
 
@@ -145,21 +147,35 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 17) -> Da
     sizes are at most one apart. The locally permuted rows are written once to the
     shared folder: a lost executor's tasks then read the same rows again.
     """
+    return _placed(df, n_shards, seed)[0]
+
+
+def write_shards(df: DataFrame, n_shards: int = 16, seed: int = 17) -> DataFrame:
+    """As ``shuffle_into_shards``, written with all columns and read back: a folder ``shard=j`` for each shard, each file in the order of the slots."""
+    placed, rows = _placed(df, n_shards, seed)
+    shards = written(placed.sortWithinPartitions("shard", "slot"), "shards", compact=False, codec="zstd", by="shard")
+    forget(rows)
+    return shards
+
+
+def _placed(df: DataFrame, n_shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with shard and slot, and the table of locally permuted rows that they are read from."""
     keep = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     at, order, block, counts, part, inner, start, taken = fresh(keep + ["shard", "slot"], "_at", "_order", "_block", "_counts", "_part", "_inner", "_start", "_taken")
     own = [F.col(f"`{c}`") for c in keep]
     # the local permutation: rows are sorted by hash within their partition, and numbered as they then stand
     hashed = df.select(*own, F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias(order))
-    rows = written(hashed.sortWithinPartitions(order).select(*own, F.monotonically_increasing_id().alias(at)), "shard-rows")
+    rows = written(hashed.sortWithinPartitions(order).select(*own, F.monotonically_increasing_id().alias(at)), "shard-rows", compact=False, codec="zstd")
     here, rank = F.shiftright(F.col(at), 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = written(rows.groupBy(here.alias("block")).agg(F.count("*").alias("n")), "shard-blocks")
+    width = _width(F.struct(*own, F.col(at)), rows.select(*own, at).schema)
+    sizes = written(rows.groupBy(here.alias("block")).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")), "shard-blocks")
     matrix = communication_matrix(sizes, n_shards, seed).withColumnsRenamed({"block": block, "counts": counts})
 
     # a block's first rows go to shard 0, and so on: the shard is how many of the running sums the rank has reached
     sent = rows.withColumn(block, here).join(small(matrix, 100_000), block)
     running = F.aggregate(F.col(counts), F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("shard")), lambda s, c: F.struct((s["sum"] + c).alias("sum"), (s["shard"] + (s["sum"] + c <= rank).cast("int")).alias("shard")))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_ranges = max(1, total // n_shards // ROWS_PER_RANGE)
+    total, weight = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    n_ranges = max(1, total // n_shards // ROWS_PER_RANGE, weight // n_shards // BYTES_PER_RANGE)
     draw = F.xxhash64(F.lit(seed + 2), F.col(at))
     share = F.shiftrightunsigned(draw, 11).cast("double") / float(1 << 53)
     sent = sent.select(*own, F.col(at), running["shard"].alias("shard"), F.least(F.lit(n_ranges - 1).cast("bigint"), F.floor(share * n_ranges).cast("bigint")).alias(part))
@@ -169,15 +185,14 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 17) -> Da
     starts = ranges.select(F.col("shard").alias(taken), F.col(part).alias(block), (F.sum("n").over(Window.partitionBy("shard").orderBy(part)) - F.col("n")).alias(start))  # a row for each range of a shard
     turn = Window.partitionBy("shard", part).orderBy(F.shiftrightunsigned(draw, 11), at)
     placed = sent.withColumn(inner, F.row_number().over(turn) - 1).join(small(written(starts, "shard-starts"), 1_000_000), (F.col("shard") == F.col(taken)) & (F.col(part) == F.col(block)))
-    return placed.select(*own, F.col("shard"), (F.col(start) + F.col(inner)).cast("bigint").alias("slot"))
+    return placed.select(*own, F.col("shard"), (F.col(start) + F.col(inner)).cast("bigint").alias("slot")), rows
 
 
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 15 under the law ``rows``."""
+    """All documents, whole, in shards 0 to 15 under the law ``rows``; sizes and checksums are those of the texts as they lie in the shards."""
     text = text_or_empty()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    return shuffle_into_shards(docs).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    shards = write_shards(texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return shards.select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )

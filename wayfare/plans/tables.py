@@ -33,9 +33,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, compact: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str, compact: bool = True, codec: str | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
+    ``codec``: the files' compression, if not the session's. ``by``: a folder for each
+    value of this column, which the files then lack; read back it is the last column.
+
     ``compact``: about one file for each core, which is as many tasks as can run at once,
     instead of one for each shuffle partition. Leave it out where the last stage is heavy.
     """
@@ -43,7 +46,8 @@ def written(df: DataFrame, name: str, compact: bool = True) -> DataFrame:
     path = shared_dir(spark, name)
     if compact:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
-    df.write.parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    (writer if by is None else writer.partitionBy(by)).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path
     return back
